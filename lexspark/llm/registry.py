@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexspark.llm import mixing, quality, sharding, simhash, tokens, topk
+from lexspark.llm import mixing, pieces, quality, sharding, simhash, substrings, tokens, topk
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,6 +10,8 @@ QUERIES = {
     "op5_token_counts": tokens.op5_token_counts,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_exact_top_k": topk.op7_exact_top_k,
+    "op8_substring_dedup": substrings.op8_substring_dedup,
+    "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_sharding": sharding.op10_sharding,
 }
 
@@ -17,4 +19,5 @@ ORACLES = {
     "op2_mixing": mixing.SQL,
     "op6_quality_rules": quality.SQL,
     "op7_exact_top_k": topk.SQL,
+    "op8_substring_dedup": substrings.SQL,
 }
