@@ -3,25 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexspark.llm import mixing, quality, simhash
+from lexspark.llm import mixing, pieces, quality, simhash, substrings
 from lexspark.llm.common import stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no rule rejects."""
     return quality.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose fingerprints link at 3 or fewer bits, the one with the smallest doc_id."""
     return simhash.keep_first(docs)
 
 
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words of windows that a smaller doc_id has too; n_chars is that of the new text."""
+    cut = substrings.without_repeats(docs)
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the weights of their sources ask for."""
     return mixing.mix(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("near dedup", near_dedup), ("source mix", source_mix)]
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``(doc_id, sample, pieces, log_prob, perturbed, inclusion, round_trip)``: two segmentations of every row."""
+    return pieces.sampled_segmentations(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("source mix", source_mix),
+    ("sentencepiece", encoding),
+]
 
+#: Fingerprints by XXH64 and sampled segmentations have no form in SQL; tests hold the rows against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lexspark.llm import mixing, pieces, quality, sharding, simhash, substrings, tokens, topk
+from lexspark.llm import extraction, mixing, pieces, quality, sharding, simhash, substrings, tokens, topk, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_mixing": mixing.op2_mixing,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_html_extraction": extraction.op4_html_extraction,
     "op5_token_counts": tokens.op5_token_counts,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_exact_top_k": topk.op7_exact_top_k,
