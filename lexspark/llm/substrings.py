@@ -5,10 +5,12 @@ matter, and few are, so a cheap superset comes first: each window has a seed, th
 its shorter runs of words. Equal windows have equal seeds, and neighbours mostly share theirs, so
 there is about one seed row for five windows. Windows whose seed no other document holds are done.
 
-The rest become edge rows. The first occurrence of an edge, by doc_id and place, is its source.
-Consecutive edges of a document whose sources advance in step are a nonbranching path; it compacts
-into one span (document, start, length, source document, source start). Every span then is joined
-with the digest of the words at its source coordinates and is removed only if its own words agree.
+The rest become edge rows with their coordinates and a second, independent hash. The first
+occurrence of an edge, by doc_id and place, is its source; an edge counts as repeated there only if
+the second hash at the source's coordinates agrees. Consecutive edges of a document whose sources
+advance in step are a nonbranching path; it compacts into one span (start, length, source document,
+source start), and spans are joined back to the documents. Whole texts that equal an earlier one are
+a span already and make no edges.
 
 Both shuffles of hashes are combined before they start: a task sends one row a hash for what it
 does not know yet, and answers itself what it can, so a passage found in all documents is at most
@@ -94,31 +96,36 @@ def _scan_seeds(window: int, short: int):
     return run
 
 
-def _scan_edges(window: int, short: int):
-    """Rows (key, doc_id, pos, src_doc, src_pos) of windows with a marked seed; with a source if a smaller document here has the window."""
+_EDGE = "key long, doc_id long, pos int, check long, src_doc long, src_pos int"
 
-    def sent(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        edge = np.concatenate([e for _, e, _ in parts])
-        pos = np.concatenate([p for _, _, p in parts])
-        doc = np.repeat(np.array([d for d, _, _ in parts], np.int64), [len(e) for _, e, _ in parts])
+
+def _scan_edges(window: int, short: int, names: list[str]):
+    """Rows of ``_EDGE`` for windows with a marked seed; with a source if a smaller document here has the window."""
+    ids, texts, at_marks = names.index("doc_id"), names.index("text"), len(names)
+
+    def sent(parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        edge, check, pos = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
+        doc = np.repeat(np.array([p[0] for p in parts], np.int64), [len(p[1]) for p in parts])
         order = np.lexsort((pos, doc, edge))
-        edge, doc, pos = edge[order], doc[order], pos[order]
+        edge, check, doc, pos = edge[order], check[order], doc[order], pos[order].astype(np.int32)
         heads = _runs(edge)
         first = np.repeat(heads, np.diff(np.r_[heads, len(edge)]))
-        later = doc > doc[first]
+        later = (doc > doc[first]) & (check == check[first])
         key = np.where(later, edge ^ mix(doc.view(np.uint64) * _GOLD + pos.astype(np.uint64)), edge)
         return pa.RecordBatch.from_arrays(
-            [_long(key), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(doc[first], mask=~later), pa.array(pos[first].astype(np.int32), mask=~later)],
-            names=["key", "doc_id", "pos", "src_doc", "src_pos"],
+            [_long(key), pa.array(doc), pa.array(pos), _long(check), pa.array(doc[first], mask=~later), pa.array(pos[first], mask=~later)],
+            names=["key", "doc_id", "pos", "check", "src_doc", "src_pos"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, parts, held = WordHashes(), [], 0
         for b in batches:
-            for d, t, marked in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+            for d, t, marked in zip(b.column(ids).to_pylist(), b.column(texts), b.column(at_marks)):
+                if d is None or not marked.is_valid:
+                    continue
                 h = hashes.of((t.as_py() or "").encode().split())
                 at = np.flatnonzero(np.isin(seeds_of(h, window, short), np.asarray(marked.values).view(np.uint64)))
-                parts.append((d, rolling(h, window)[at], at))
+                parts.append((d, rolling(h, window)[at], rolling(mix(h + _GOLD), window)[at], at))
                 held += len(at)
                 if held >= GATHERED:
                     yield sent(parts)
@@ -129,37 +136,6 @@ def _scan_edges(window: int, short: int):
     return run
 
 
-def _digest(words: list[bytes]) -> bytes:
-    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
-
-
-def repeated_spans(docs: DataFrame, window: int = 13, seed_words: int = SEED_WORDS) -> DataFrame:
-    """``(doc_id, start, n, src_doc, src_start, digest)`` of ``docs(doc_id, text)``: words start..start+n of a
-    document whose every window of ``window`` words hashes like one that starts in the smaller document
-    src_doc, and the digest of the n words at src_start.
-    """
-    if window <= seed_words:
-        raise ValueError("a window must be longer than a seed")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    seeds = texts.mapInArrow(_scan_seeds(window, seed_words), "key long, doc_id long, known byte")
-    asked = seeds.withColumn("n", F.count("*").over(Window.partitionBy("key")))
-    marked = asked.where("doc_id is not null and (known = 2 or n > 1)").withColumnRenamed("key", "seed")
-    marks = marked.groupBy("doc_id").agg(F.collect_list(F.struct("seed", "known")).alias("marks"))
-    marks = marks.mapInArrow(_unsalted, "doc_id long, marks array<long>")
-    edges = texts.join(marks, "doc_id").mapInArrow(_scan_edges(window, seed_words), "key long, doc_id long, pos int, src_doc long, src_pos int")
-    source = F.min(F.struct("doc_id", "pos")).over(Window.partitionBy("key"))
-    edges = edges.withColumn("s", source).select("doc_id", "pos", F.coalesce("src_doc", "s.doc_id").alias("src_doc"), F.when(F.col("src_doc").isNull(), F.col("s.pos")).otherwise(F.col("src_pos")).alias("src_pos"))
-    edges = edges.where("src_doc < doc_id")
-    # paths: edges one after the other in the document and in the source
-    step = F.col("pos") - F.row_number().over(Window.partitionBy("doc_id", "src_doc", F.col("pos") - F.col("src_pos")).orderBy("pos"))
-    paths = edges.distinct().withColumn("shift", F.col("pos") - F.col("src_pos")).withColumn("island", step)
-    spans = paths.groupBy("doc_id", "src_doc", "shift", "island").agg(F.min("pos").alias("start"), (F.count("*") + window - 1).cast("int").alias("n"))
-    spans = spans.select("doc_id", "start", "n", "src_doc", (F.col("start") - F.col("shift")).alias("src_start"))
-    wanted = spans.select(F.col("src_doc").alias("doc_id"), "src_start", "n").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("src_start", "n")).alias("wanted"))
-    found = texts.join(wanted, "doc_id").mapInArrow(_digests, "src_doc long, src_start int, n int, digest binary")
-    return spans.join(found, ["src_doc", "src_start", "n"])
-
-
 def _unsalted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Seeds of a document from keys; a sure key is the seed under the document's own mask."""
     for b in batches:
@@ -172,18 +148,43 @@ def _unsalted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _long(seed))], names=["doc_id", "marks"])
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows: list[tuple[int, int, int, bytes]] = []
-        for d, t, wanted in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-            words = (t.as_py() or "").encode().split()
-            rows += [(d, w["src_start"], w["n"], _digest(words[w["src_start"] : w["src_start"] + w["n"]])) for w in wanted.as_py()]
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["src_doc", "src_start", "n", "digest"])
+def repeated_spans(docs: DataFrame, window: int = 13, seed_words: int = SEED_WORDS) -> DataFrame:
+    """``(doc_id, start, n, src_doc, src_start)`` of ``docs(doc_id, text, ...)``.
+
+    Words start..start+n of a document are windows of ``window`` words that all start in the smaller
+    document src_doc, from src_start on. ``n`` is null for a text that equals src_doc's whole text.
+    """
+    if window <= seed_words:
+        raise ValueError("a window must be longer than a seed")
+    named = docs.where("doc_id is not null")
+    # whole texts again: the SHA-256 of a text with its smallest doc_id
+    sums = named.where("text is not null").select("doc_id", F.sha2("text", 256).alias("sum"))
+    least = sums.groupBy("sum").agg(F.min("doc_id").alias("src_doc"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = sums.join(least, "sum").where("src_doc < doc_id").select("doc_id", "src_doc").distinct()
+    # seeds that other documents hold too
+    seeds = named.select("doc_id", "text").mapInArrow(_scan_seeds(window, seed_words), "key long, doc_id long, known byte")
+    asked = seeds.withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    marked = asked.where("doc_id is not null and (known = 2 or n > 1)").withColumnRenamed("key", "seed")
+    marks = marked.groupBy("doc_id").agg(F.collect_list(F.struct("seed", "known")).alias("marks"))  # a document's own seeds
+    marks = marks.join(copies.select("doc_id"), "doc_id", "left_anti").mapInArrow(_unsalted, "doc_id long, marks array<long>")
+    # edges with the first place that has them; the join keeps all columns, so that its shuffle serves the last join too
+    held = docs.join(marks.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    edges = held.mapInArrow(_scan_edges(window, seed_words, docs.columns), _EDGE)
+    source = F.min(F.struct("doc_id", "pos", "check")).over(Window.partitionBy("key"))
+    edges = edges.withColumn("s", source).where("src_doc is not null or (s.doc_id < doc_id and s.check = check)")
+    edges = edges.select("doc_id", "pos", F.coalesce("src_doc", "s.doc_id").alias("src_doc"), F.when(F.col("src_doc").isNull(), F.col("s.pos")).otherwise(F.col("src_pos")).alias("src_pos"))
+    # paths: edges one after the other in the document and in the source
+    edges = edges.withColumn("shift", F.col("pos") - F.col("src_pos"))
+    along = Window.partitionBy("doc_id").orderBy("src_doc", "shift", "pos")
+    follows = (F.lag("src_doc").over(along) == F.col("src_doc")) & (F.lag("shift").over(along) == F.col("shift")) & (F.col("pos") - F.lag("pos").over(along) <= 1)
+    paths = edges.withColumn("starts", (~F.coalesce(follows, F.lit(False))).cast("int")).withColumn("path", F.sum("starts").over(along))
+    spans = paths.groupBy("doc_id", "path").agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + window).alias("n"), F.min("src_doc").alias("src_doc"), F.min("src_pos").alias("src_start"))
+    whole = copies.select("doc_id", F.lit(0).alias("start"), F.lit(None).cast("int").alias("n"), "src_doc", F.lit(0).alias("src_start"))
+    return spans.select(whole.columns).unionByName(whole)
 
 
-def _removal(schema: T.StructType, names: list[str]):
-    """Rows of ``names`` and spans to rows without the words of spans that are what their source says."""
+def _removal(schema: T.StructType, names: list[str], window: int):
+    """Rows of ``names`` and spans to rows without the words of spans."""
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,9 +196,10 @@ def _removal(schema: T.StructType, names: list[str]):
                 words = data.split()
                 keep = np.ones(len(words), bool)
                 for s in spans.as_py() or ():
-                    a, z = s["start"], s["start"] + s["n"]
-                    if _digest(words[a:z]) == s["digest"]:
-                        keep[a:z] = False
+                    if s["n"] is not None:
+                        keep[s["start"] : s["start"] + s["n"]] = False
+                    elif len(words) >= window:
+                        keep[:] = False
                 gone = len(words) - int(keep.sum())
                 if gone:
                     tokens = _TOKEN.findall(data)
@@ -225,11 +227,11 @@ def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     columns are replaced. No rows: no rows.
     """
     docs = docs.drop("n_words", "n_removed", "kept_sha256")
-    spans = repeated_spans(docs, window).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("start", "n", "digest")).alias("_spans"))
+    spans = repeated_spans(docs, window).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("start", "n")).alias("_spans"))
     new = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     schema = T.StructType([*docs.schema.fields, *new])
     held = docs.join(spans, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
-    return held.mapInArrow(_removal(schema, docs.columns), schema)
+    return held.mapInArrow(_removal(schema, docs.columns, window), schema)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
