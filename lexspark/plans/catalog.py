@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexspark.plans import corpus_queries, log_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {**corpus_queries.QUERIES, **log_queries.QUERIES}
+ORACLES: dict[str, str] = {**corpus_queries.ORACLES, **log_queries.ORACLES}

@@ -1,0 +1,20 @@
+"""Where intermediate tables go: the folder that driver and executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it again; ``spark.checkpoint.dir`` if set, a local folder for tests."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = f"file://{tempfile.mkdtemp(prefix='lexspark-')}"
+        spark.sparkContext.setCheckpointDir(base)
+    path = f"{base}/lexspark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
