@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.functions import statistics as S
 from lexspark.functions import text as X
+from lexspark.storage import stored
 
 SIZES = (2, 3, 4)
 
@@ -98,23 +97,19 @@ def contained(candidates: DataFrame, slack: float = 1.25) -> DataFrame:
     return hit.where(before).select("text", "container")
 
 
-def without_contained(candidates: DataFrame, slack: float = 1.25, depth: int = 4) -> DataFrame:
+def without_contained(candidates: DataFrame, slack: float = 1.25) -> DataFrame:
     """Candidates that are not part of a kept one ranked before them.
 
     A candidate is dropped by a kept container only, so the rule is settled by rounds: kept are those
-    all of whose containers are dropped. Containers are longer than their parts, and chains of them
-    among texts of four words are at most ``depth`` deep.
+    all of whose containers are dropped. Containers are longer than their parts, so rounds are as
+    many as the longest chain of texts inside each other; what is left of the links gets less each time.
     """
-    links = contained(candidates, slack)
-    dropped = links.select("text").limit(0)
-    for _ in range(depth):
-        open_ = links.join(dropped.withColumnRenamed("text", "container"), "container", "left_anti")
-        # what no container is left for is kept; what has a kept container is dropped
-        maybe = open_.select("text").distinct()
-        sure = open_.join(maybe.withColumnRenamed("text", "container"), "container", "left_anti").select("text").distinct()
-        dropped = dropped.union(sure).distinct()
-    return candidates.join(dropped, "text", "left_anti")
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+    links = stored(contained(candidates, slack))
+    dropped = None
+    while not links.isEmpty():
+        open_ = links.select(F.col("text").alias("container")).distinct()
+        sure = stored(links.join(open_, "container", "left_anti").select("text").distinct())  # their container has none itself: it is kept
+        dropped = sure if dropped is None else dropped.union(sure)
+        gone = sure.withColumnRenamed("text", "container")
+        links = stored(links.join(sure, "text", "left_anti").join(gone, "container", "left_anti"))
+    return candidates if dropped is None else candidates.join(dropped, "text", "left_anti")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspark.storage import stored
+
 
 def capped(rows: DataFrame, head: str, cap: int, order: list[Column], taken: DataFrame | None = None, where: Column | None = None) -> DataFrame:
     """At most ``cap`` rows a head, the first in order; rows outside ``where`` are not counted and stay.
@@ -39,8 +41,6 @@ def ranked(rows: DataFrame, order: list[Column], name: str = "rank", start: int
 
 
 def _numbered(dealt: DataFrame, name: str, start: int) -> DataFrame:
-    from lexspark.plans.session import stored
-
     dealt = stored(dealt)  # ranges are sampled; written, they are the same for both uses
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

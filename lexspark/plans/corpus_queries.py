@@ -9,7 +9,7 @@ from lexspark.functions import text as X
 from lexspark.operators import association as A
 from lexspark.operators import cards as C
 from lexspark.operators import corpus, ngrams
-from lexspark.plans.session import stored
+from lexspark.storage import stored
 from lexspark.plans.tables import EVERYDAY, LINES, lines, read
 
 #: Occurrences that an n-gram or a pair needs, and words of the vocabulary.

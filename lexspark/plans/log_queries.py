@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexspark.functions import memory as M
 from lexspark.operators import ledger as L
 from lexspark.operators import replay as R
-from lexspark.plans.session import stored
+from lexspark.storage import stored
 from lexspark.plans.tables import LOG, log, read, reviews
 
 #: The moment from which the log is looked at.

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-REVIEW_LOG = T.StructType.fromDDL(
+REVIEW_LOG = (
     "learner STRING, type STRING, seq BIGINT, ts TIMESTAMP, unit_id STRING, card_id STRING, rating STRING, outcome STRING, "
     "answers ARRAY<STRING>, expected ARRAY<STRING>, elapsed_ms BIGINT, deck_version STRING, known BOOLEAN, note STRING, review_ts TIMESTAMP"
 )
-GLOSSES = T.StructType.fromDDL("german STRING, english STRING, source STRING, written_at TIMESTAMP")
-COSTS = T.StructType.fromDDL(
+GLOSSES = "german STRING, english STRING, source STRING, written_at TIMESTAMP"
+COSTS = (
     "timestamp TIMESTAMP, model STRING, lane STRING, prompt_tokens BIGINT, completion_tokens BIGINT, cost_usd DOUBLE, "
     "purpose STRING, mode STRING, outcome STRING, attempt INT, call_id STRING, quota_type STRING"
 )
@@ -31,12 +30,12 @@ def corpus_lines(spark: SparkSession, path: str, layout: str, source: str) -> Da
     return held.select(F.lit(source).alias("source"), F.trim("line_id").alias("line_id"), F.trim("text").alias("text")).where("text <> ''")
 
 
-def json_rows(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+def json_rows(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Rows of a JSON-lines file, and ``(line)`` of those that are no such rows."""
     raw = spark.read.text(path).where("trim(value) <> ''")
-    held = raw.select("value", F.from_json("value", T.StructType([*schema.fields, T.StructField("_bad", T.StringType())]), {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}).alias("r"))
+    held = raw.select("value", F.from_json("value", f"{schema}, _bad STRING", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}).alias("r"))
     good = F.col("r").isNotNull() & F.col("r._bad").isNull()
-    return held.where(good).select(*[F.col(f"r.{f.name}") for f in schema.fields]), held.where(~good).select(F.col("value").alias("line"))
+    return held.where(good).select("r.*").drop("_bad"), held.where(~good).select(F.col("value").alias("line"))
 
 
 def gloss_store(spark: SparkSession, path: str) -> DataFrame:
