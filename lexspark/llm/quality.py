@@ -62,6 +62,11 @@ def _placed(df: DataFrame) -> DataFrame:
     return df.withColumn("_places", repeats_of(F.col("_placed"))).drop("_placed")
 
 
+def _once(value: Column) -> Column:
+    """``value``, in a projection that filters above it are not moved below: moved into the lambdas, it would be derived for every element."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def text_stats(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of ``text``, all long.
 
@@ -75,7 +80,7 @@ def text_stats(docs: DataFrame) -> DataFrame:
         "word_chars": F.length(F.array_join("_words", "")).cast("long"),
         "n_symbols": F.coalesce(F.regexp_count("text", F.lit(_SYMBOLS)), F.lit(0)).cast("long"),
         "n_dup_lines": duplicate_lines(F.col("text")),
-        "n_repeat_words": covered_words(F.col("_places")),
+        "n_repeat_words": _once(covered_words(F.col("_places"))),
     }).drop("_words", "_places")
 
 
