@@ -17,6 +17,7 @@ chunks at once. A path still is one of the whole text, and the noise hangs on th
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,8 +34,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of text whose lattices are made at once, at least one text.
 BATCH_CHARS = 1_500_000
-#: Edges of lattices that a task keeps for its next texts.
-KEPT_EDGES = 5_000_000
+#: Edges of lattices that a Python worker keeps for its next texts. What is kept changes no result.
+KEPT_EDGES = 8_000_000
 _BASE = np.uint64(0x100000001B3)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -103,6 +104,23 @@ class _Numbers(dict):
         return n
 
 
+class _Rows:
+    """A numpy array that grows at its end without a copy for each addition."""
+
+    def __init__(self, kind: type) -> None:
+        self.held, self.n = np.empty(1024, kind), 0
+
+    def add(self, new: np.ndarray) -> np.ndarray:
+        end = self.n + len(new)
+        if end > len(self.held):
+            wider = np.empty(max(end, 3 * len(self.held) // 2), self.held.dtype)
+            wider[: self.n] = self.held[: self.n]
+            self.held = wider
+        self.held[self.n : end] = new
+        self.n = end
+        return self.held[:end]
+
+
 class Lattice:
     """Lattices of distinct chunks of text: a node is a character's place, a node's edges lie together, the longest piece first.
 
@@ -113,11 +131,10 @@ class Lattice:
     def __init__(self, v: Vocabulary) -> None:
         self.v = v
         self.known = _Numbers()
-        self.start = np.empty(0, np.int64)  # first node of each chunk
-        self.first = np.empty(0, np.int64)  # first edge of each node
-        self.n_edges = np.empty(0, np.int8)
-        self.src, self.target, self.out = (np.empty(0, np.int32) for _ in range(3))
-        self.log_p, self.cum = np.empty(0), np.empty(0)
+        kinds = {"start": np.int64, "first": np.int32, "n_edges": np.int8, "src": np.int32, "target": np.int32, "out": np.int32, "log_p": np.float64, "cum": np.float64}
+        self.rows = {name: _Rows(kind) for name, kind in kinds.items()}
+        self.start, self.first, self.n_edges = (self.rows[x].held[:0] for x in ("start", "first", "n_edges"))  # a chunk's node; a node's edges
+        self.src, self.target, self.out, self.log_p, self.cum = (self.rows[x].held[:0] for x in ("src", "target", "out", "log_p", "cum"))
         self.flat = np.arange(len(v.weight), dtype=np.int32)  # piece ids; beyond the vocabulary, those of characters made of bytes
         self.wide = np.ones(len(v.weight), np.int8)  # ids from a place in ``flat`` on that belong together
         self.odd: dict[int, int] = {}
@@ -138,7 +155,7 @@ class Lattice:
 
     def add(self) -> None:
         """Make what ``known`` has numbered since the last time."""
-        chunks = list(self.known)[len(self.start) :] if len(self.known) > len(self.start) else []
+        chunks = list(itertools.islice(self.known, len(self.start), None))
         if not chunks:
             return
         v, most = self.v, max(self.v.by_length)
@@ -195,11 +212,10 @@ class Lattice:
             edges += len(node)
             made.append((node + base, target, out[rows, cols, column], log_p, cum))
         node, target, out, log_p, cum = (np.concatenate(x) for x in zip(*made))
-        join = lambda old, new: np.concatenate([old, new.astype(old.dtype)])
-        self.first, self.n_edges = join(self.first, first), join(self.n_edges, n_edges)
-        self.src, self.target, self.out = join(self.src, node), join(self.target, target), join(self.out, out)
-        self.log_p, self.cum = join(self.log_p, log_p), join(self.cum, cum)
-        self.start = join(self.start, starts)
+        self.first, self.n_edges = self.rows["first"].add(first), self.rows["n_edges"].add(n_edges)
+        self.src, self.target, self.out = self.rows["src"].add(node), self.rows["target"].add(target), self.rows["out"].add(out)
+        self.log_p, self.cum = self.rows["log_p"].add(log_p), self.rows["cum"].add(cum)
+        self.start = self.rows["start"].add(starts)
 
     def log_rest(self, log_p: np.ndarray) -> np.ndarray:
         """Log-probability that a node's edge is another one."""
@@ -212,7 +228,7 @@ class Lattice:
         step = 0
         while len(live):
             u = unit(keys[live] + np.array([step], np.uint64) * _GOLD)
-            e = self.first[now]
+            e = self.first[now].astype(np.int64)
             late = np.flatnonzero(u >= self.cum[e])
             while len(late):
                 e[late] += 1
@@ -371,6 +387,9 @@ def row_key(key: object, seed: int) -> int:
     return xxhash.xxh64_intdigest(repr(key), seed)
 
 
+_kept: dict[str, Lattice] = {}
+
+
 def sampled_segmentations(docs: DataFrame, k: int = 2, seed: int = 9, model: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, sample, pieces, log_prob, perturbed, inclusion, round_trip)``, up to k rows a row of ``docs``.
 
@@ -385,7 +404,7 @@ def sampled_segmentations(docs: DataFrame, k: int = 2, seed: int = 9, model: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
-        lat = Lattice(v)
+        lat = _kept.get(model) or Lattice(v)
         for b in batches:
             ids, texts = b.column(0), [t or "" for t in b.column(1).to_pylist()]
             keys = [row_key(x, seed) for x in ids.to_pylist()]
@@ -410,6 +429,7 @@ def sampled_segmentations(docs: DataFrame, k: int = 2, seed: int = 9, model: str
                 a = z
                 if len(lat.src) > KEPT_EDGES:
                     lat = Lattice(v)
+                _kept[model] = lat
 
     ddl = f"doc_id {kind}, sample int, pieces array<int>, log_prob double, perturbed double, inclusion double, round_trip boolean"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ddl)
