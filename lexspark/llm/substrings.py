@@ -9,7 +9,7 @@ The rest become edge rows with their coordinates and a second, independent hash.
 occurrence of an edge, by doc_id and place, is its source; an edge counts as repeated there only if
 the second hash at the source's coordinates agrees. Consecutive edges of a document whose sources
 advance in step are a nonbranching path; it compacts into one span (start, length, source document,
-source start), and spans are joined back to the documents. Whole texts that equal an earlier one are
+source start), in the task where that is known there, and spans are joined back to the documents. Whole texts that equal an earlier one are
 a span already and make no edges.
 
 Both shuffles of hashes are combined before they start: a task sends one row a hash for what it
@@ -75,6 +75,8 @@ def _scan_seeds(window: int, short: int):
         docs = np.concatenate([doc[alone], doc[many], doc[sure]])
         known = np.zeros(len(key), np.int8)
         known[len(alone) : len(alone) + len(many)], known[len(alone) + len(many) :] = 1, 2
+        order = np.argsort(docs, kind="stable")
+        key, docs, known = key[order], docs[order], known[order]
         return pa.RecordBatch.from_arrays([_long(key), pa.array(docs, mask=known == 1), pa.array(known)], names=["key", "doc_id", "known"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,11 +98,13 @@ def _scan_seeds(window: int, short: int):
     return run
 
 
-_EDGE = "key long, doc_id long, pos int, check long, src_doc long, src_pos int"
+#: ``at``: the place in the upper half, the second hash in the lower one; ``path``: a source that is known, and edges along it.
+_EDGE = "key long, doc_id long, at long, path struct<src_doc:long,src_pos:int,n:int>"
+_LOWER_HALF = 0xFFFFFFFF
 
 
 def _scan_edges(window: int, short: int, names: list[str]):
-    """Rows of ``_EDGE`` for windows with a marked seed; with a source if a smaller document here has the window."""
+    """Rows of ``_EDGE`` for windows with a marked seed. Those that a smaller document here has are known, and come as whole paths of n edges."""
     ids, texts, at_marks = names.index("doc_id"), names.index("text"), len(names)
 
     def sent(parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -111,11 +115,23 @@ def _scan_edges(window: int, short: int, names: list[str]):
         heads = _runs(edge)
         first = np.repeat(heads, np.diff(np.r_[heads, len(edge)]))
         later = (doc > doc[first]) & (check == check[first])
-        key = np.where(later, edge ^ mix(doc.view(np.uint64) * _GOLD + pos.astype(np.uint64)), edge)
-        return pa.RecordBatch.from_arrays(
-            [_long(key), pa.array(doc), pa.array(pos), _long(check), pa.array(doc[first], mask=~later), pa.array(pos[first], mask=~later)],
-            names=["key", "doc_id", "pos", "check", "src_doc", "src_pos"],
-        )
+        # paths of edges whose source is here, as one row each
+        d, p, sd, sp = doc[later], pos[later], doc[first][later], pos[first][later]
+        order = np.lexsort((p, p - sp, sd, d))
+        d, p, sd, sp = d[order], p[order], sd[order], sp[order]
+        starts = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (sd[1:] != sd[:-1]) | (p[1:] - p[:-1] != 1) | (sp[1:] - sp[:-1] != 1)]) if len(d) else np.empty(0, np.int64)
+        long = np.diff(np.r_[starts, len(d)]).astype(np.int32)
+        d, p, sd, sp = d[starts], p[starts], sd[starts], sp[starts]
+        ask = ~later
+        key = np.r_[edge[ask], mix(d.view(np.uint64) + _GOLD)]
+        docs = np.r_[doc[ask], d]
+        at = np.r_[pos[ask].astype(np.int64) << 32 | check[ask].view(np.uint32), p.astype(np.int64) << 32]
+        none = np.zeros(int(ask.sum()), np.int64)
+        path = [np.r_[none, sd], np.r_[none, sp].astype(np.int32), np.r_[none, long].astype(np.int32)]
+        known = np.r_[none.astype(bool), np.ones(len(d), bool)]
+        order = np.lexsort((at, docs))  # neighbours of a document, which shuffle files then hold in few bytes
+        struct = pa.StructArray.from_arrays([pa.array(x[order]) for x in path], ["src_doc", "src_pos", "n"], mask=pa.array(~known[order]))
+        return pa.RecordBatch.from_arrays([_long(key[order]), pa.array(docs[order]), pa.array(at[order]), struct], names=["key", "doc_id", "at", "path"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, parts, held = WordHashes(), [], 0
@@ -125,7 +141,7 @@ def _scan_edges(window: int, short: int, names: list[str]):
                     continue
                 h = hashes.of((t.as_py() or "").encode().split())
                 at = np.flatnonzero(np.isin(seeds_of(h, window, short), np.asarray(marked.values).view(np.uint64)))
-                parts.append((d, rolling(h, window)[at], rolling(mix(h + _GOLD), window)[at], at))
+                parts.append((d, rolling(h, window)[at], (rolling(mix(h + _GOLD), window)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32), at))
                 held += len(at)
                 if held >= GATHERED:
                     yield sent(parts)
@@ -170,15 +186,20 @@ def repeated_spans(docs: DataFrame, window: int = 13, seed_words: int = SEED_WOR
     # edges with the first place that has them; the join keeps all columns, so that its shuffle serves the last join too
     held = docs.join(marks.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
     edges = held.mapInArrow(_scan_edges(window, seed_words, docs.columns), _EDGE)
-    source = F.min(F.struct("doc_id", "pos", "check")).over(Window.partitionBy("key"))
-    edges = edges.withColumn("s", source).where("src_doc is not null or (s.doc_id < doc_id and s.check = check)")
-    edges = edges.select("doc_id", "pos", F.coalesce("src_doc", "s.doc_id").alias("src_doc"), F.when(F.col("src_doc").isNull(), F.col("s.pos")).otherwise(F.col("src_pos")).alias("src_pos"))
+    source = F.min(F.struct("doc_id", "at")).over(Window.partitionBy("key"))
+    same = F.col("s.at").bitwiseAND(F.lit(_LOWER_HALF)) == F.col("at").bitwiseAND(F.lit(_LOWER_HALF))
+    edges = edges.withColumn("s", source).where(F.col("path").isNotNull() | ((F.col("s.doc_id") < F.col("doc_id")) & same))
+    place = lambda at: F.shiftright(at, 32).cast("int")
+    edges = edges.select(
+        "doc_id", place(F.col("at")).alias("pos"), F.coalesce("path.src_doc", "s.doc_id").alias("src_doc"),
+        F.when(F.col("path").isNull(), place(F.col("s.at"))).otherwise(F.col("path.src_pos")).alias("src_pos"), F.coalesce("path.n", F.lit(1)).alias("n"),
+    )
     # paths: edges one after the other in the document and in the source
     edges = edges.withColumn("shift", F.col("pos") - F.col("src_pos"))
     along = Window.partitionBy("doc_id").orderBy("src_doc", "shift", "pos")
-    follows = (F.lag("src_doc").over(along) == F.col("src_doc")) & (F.lag("shift").over(along) == F.col("shift")) & (F.col("pos") - F.lag("pos").over(along) <= 1)
+    follows = (F.lag("src_doc").over(along) == F.col("src_doc")) & (F.lag("shift").over(along) == F.col("shift")) & (F.col("pos") <= F.lag(F.col("pos") + F.col("n")).over(along))
     paths = edges.withColumn("starts", (~F.coalesce(follows, F.lit(False))).cast("int")).withColumn("path", F.sum("starts").over(along))
-    spans = paths.groupBy("doc_id", "path").agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + window).alias("n"), F.min("src_doc").alias("src_doc"), F.min("src_pos").alias("src_start"))
+    spans = paths.groupBy("doc_id", "path").agg(F.min("pos").alias("start"), (F.max(F.col("pos") + F.col("n")) - F.min("pos") + (window - 1)).alias("n"), F.min("src_doc").alias("src_doc"), F.min("src_pos").alias("src_start"))
     whole = copies.select("doc_id", F.lit(0).alias("start"), F.lit(None).cast("int").alias("n"), "src_doc", F.lit(0).alias("src_start"))
     return spans.select(whole.columns).unionByName(whole)
 
