@@ -2,12 +2,13 @@
 
 A page is a sequence of structural tokens: elements by the path of tags and class names that leads
 to them. Tokens of one host that occur equally often on the same pages share an occurrence vector
-and form an equivalence class. A class is valid if several pages have it and its tokens nest: the
-class of the enclosing token occurs on all of its pages. Valid classes, nested, are the template;
-the text between its tokens are slots. A slot that holds the same text on its pages, or links for the
-most part, or that is named as a menu, notice, comment and the like, is the template's own; what
-remains is extracted. Tokens in no valid class (of hosts with a single page, and rare parts) take
-part by their names and by the slot around them.
+and form an equivalence class. Tokens nest, since a path leads through the tokens around it. Tokens
+of a class inside one token are valid if several pages have them and they come in one order on all
+of these. Valid classes, nested, are the template; the text between its tokens are slots, inside
+articles too. A slot that holds the same text on its pages, or links for the most part, is the
+template's own; what remains is extracted, whatever its tokens are named. Tokens in no valid class
+(of hosts with a single page, rare parts, parts that change places) take part by their names and
+those around them. Elements that HTML itself sets apart or hides never do.
 
 Only sums per (host, token) are gathered: pages, text, link text, and two hash sums, one of which
 identifies the occurrence vector and one tells whether all texts are equal. They are combined before
@@ -24,7 +25,7 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.llm.common import checkpoint, table
@@ -38,6 +39,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "nobr", "q", "rb", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "label"}
 BLOCKS_IN_TEXT = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "blockquote", "pre", "figure", "figcaption", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "hr", "address", "center", "hgroup"}
 NOT_TEXT = RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "input", "fieldset", "legend", "audio", "video", "map", "applet", "datalist", "output", "progress", "meter"}
+LINKED_TEXT = {"article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6"}  # may be a link as a whole
 NOT_TEXT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "tablist"}
 NOT_TEXT_NAMES = set(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner banners billboard "
@@ -57,7 +59,8 @@ _SCOPE = {"ul", "ol", "dl", "table", "div", "article", "section", "main", "body"
 class _Element:
     tag: str
     path: str  # of structural elements, with class names
-    skip: bool  # named as not being text
+    skip: bool  # not text by the element itself, or hidden
+    named: bool  # named as not being text
     inside: bool  # in an article or main
     link: bool
 
@@ -69,6 +72,8 @@ class Token:
     path: str
     skip: bool
     inside: bool
+    named: bool = False  # by its own names
+    above: int = 0  # place of the token around it
     blocks: list[str] = field(default_factory=list)
     link_chars: int = 0
 
@@ -81,13 +86,15 @@ def _names(attributes: str) -> tuple[list[str], dict[str, str]]:
     return names, held
 
 
-def _is_skipped(tag: str, names: list[str], held: dict[str, str], inside: bool) -> bool:
+def _is_skipped(tag: str, held: dict[str, str], inside: bool) -> bool:
     if tag in NOT_TEXT or (tag == "header" and not inside):
         return True
     if held.get("role", "").lower() in NOT_TEXT_ROLES or "hidden" in held or held.get("aria-hidden", "").lower() == "true":
         return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", held.get("style", ""), re.I):
-        return True
+    return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", held.get("style", ""), re.I))
+
+
+def _is_named(tag: str, names: list[str]) -> bool:
     return tag not in {"html", "body", "main"} and any(n in NOT_TEXT_NAMES for n in names)
 
 
@@ -99,7 +106,7 @@ def read_page(source: str) -> tuple[list[Token], list[tuple[int, str]]]:
     """
     tokens = [Token("", False, False)]
     blocks: list[tuple[int, str]] = []
-    stack: list[tuple[_Element, int]] = [(_Element("", "", False, False, False), 0)]
+    stack: list[tuple[_Element, int]] = [(_Element("", "", False, False, False, False), 0)]
     parts: list[str] = []
     linked = 0
 
@@ -159,15 +166,18 @@ def read_page(source: str) -> tuple[list[Token], list[tuple[int, str]]]:
                     break
         above, place = stack[-1]
         inside = above.inside or tag in {"article", "main"} or held.get("role", "").lower() in {"main", "article"}
-        skip = above.skip or _is_skipped(tag, names, held, above.inside)
-        structural = tag not in INLINE and tag not in BLOCKS_IN_TEXT or (skip and not above.skip)
+        skip = above.skip or _is_skipped(tag, held, above.inside)
+        own = _is_named(tag, names)
+        named = above.named or own
+        boxed = tag in BLOCKS_IN_TEXT and names  # a text block with a name of its own may be a box of the template
+        structural = tag not in INLINE and tag not in BLOCKS_IN_TEXT or boxed or ((skip or named) and not (above.skip or above.named))
         path = above.path
         if structural:
             path = f"{above.path}/{'.'.join([tag, *sorted(set(names))])}"
-            tokens.append(Token(path, skip, inside))
+            tokens.append(Token(path, skip, inside, own, place))
             place = len(tokens) - 1
         if not m[0].endswith("/>") or tag not in {"svg", "math", "object"}:
-            stack.append((_Element(tag, path, skip, inside, above.link or tag == "a"), place))
+            stack.append((_Element(tag, path, skip, named, inside, above.link or tag == "a"), place))
         if tag in RAW and not m[0].endswith("/>"):
             end = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(source, at)
             at = end.start() if end else len(source)
@@ -221,6 +231,35 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
+def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, class_id, around, least, most): hashes of the orders in which tokens of a class come inside one token."""
+    held: dict[tuple[str, int, str], tuple[int, int]] = {}
+    for b in batches:
+        for url, source, asked in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+            if not asked.is_valid:
+                continue
+            host, classes, found = host_of(url), {x["path"]: x["class_id"] for x in asked.as_py()}, {}
+            for path in dict.fromkeys(t.path for t in read_page(source.as_py() or "")[0]):
+                if path in classes:
+                    found.setdefault((host, classes[path], path.rpartition("/")[0]), []).append(path)
+            for k, order in found.items():
+                h = _hash(*order)
+                least, most = held.get(k, (h, h))
+                held[k] = (min(least, h), max(most, h))
+    if held:
+        cols = [pa.array([k[i] for k in held], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.string()))]
+        cols += [pa.array([v[i] for v in held.values()], pa.int64()) for i in range(2)]
+        yield pa.RecordBatch.from_arrays(cols, names=["host", "class_id", "around", "least", "most"])
+
+
+def _by_host(pages: DataFrame, tokens: DataFrame, held: Column, name: str) -> DataFrame:
+    """``pages`` with what is held of their host's tokens, null for none."""
+    told = tokens.groupBy("host").agg(F.collect_list(held).alias(name))  # a host's tokens, as many as its pages' markup has
+    few = tokens.count() <= BROADCAST_TOKENS
+    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
+    return pages.withColumn("_host", host).join(F.broadcast(told) if few else told, F.col("_host") == F.col("host"), "left").drop("_host", "host")
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """``(host, path, class_id, valid, extract)``: the tokens of each host, their classes and what to do with their slots."""
     raw = pages.mapInArrow(_occurrences, "host string, path string, skip boolean, inside boolean, pages long, vector decimal(38,0), least long, most long, chars long, links long")
@@ -228,26 +267,39 @@ def templates(pages: DataFrame) -> DataFrame:
         F.max("skip").alias("skip"), F.max("inside").alias("inside"), F.sum("pages").alias("pages"), F.sum("vector").alias("vector"),
         F.min("least").alias("least"), F.max("most").alias("most"), F.sum("chars").alias("chars"), F.sum("links").alias("links"),
     )
-    tokens = checkpoint(tokens.withColumn("class_id", F.xxhash64("vector", "pages")).withColumn("above", F.expr("left(path, greatest(length(path) - locate('/', reverse(path)), 0))")))
-    around = tokens.select("host", F.col("path").alias("above"), F.col("pages").alias("around"), F.col("class_id").alias("above_class"))
-    nested = tokens.join(around, ["host", "above"], "left")
-    valid = (F.col("pages") > 1) & ((F.col("path") == "") | (F.coalesce("around", F.lit(0)) >= F.col("pages")))
+    around = F.expr("left(path, greatest(length(path) - locate('/', reverse(path)), 0))")
+    tokens = checkpoint(tokens.withColumn("class_id", F.xxhash64("vector", "pages")).withColumn("around", around))
+    part = ["host", "class_id", "around"]
+    several = tokens.where("pages > 1").groupBy(*part).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    asked = tokens.join(several, part, "left_semi")
+    orders = _by_host(pages, asked, F.struct("path", "class_id"), "_asked").select("url", "html", "_asked")
+    orders = orders.mapInArrow(_orders, "host string, class_id long, around string, least long, most long")
+    unordered = orders.groupBy(*part).agg((F.min("least") != F.max("most")).alias("_unordered"))
+    valid = (F.col("pages") > 1) & ~F.coalesce("_unordered", F.lit(False))
     host = tokens.groupBy("host").agg(F.max(F.col("least") != F.col("most")).alias("varies"))  # else its pages are copies, which says nothing about slots
     constant = F.col("varies") & (F.col("least") == F.col("most")) & (F.col("chars") > 0)
-    own = F.col("skip") | (~F.col("inside") & F.col("valid") & (constant | (2 * F.col("links") > F.col("chars"))))
-    told = nested.withColumn("valid", valid).join(host, "host")
-    return told.select("host", "path", "class_id", "valid", (~own).alias("extract"))
+    linked = (2 * F.col("links") > F.col("chars")) & ~F.regexp_extract("path", r"([^/.]*)[^/]*$", 1).isin(*LINKED_TEXT)
+    own = F.col("skip") | constant | linked
+    told = tokens.join(unordered, part, "left").withColumn("valid", valid).join(host, "host")
+    return checkpoint(told.select("host", "path", "class_id", "valid", (~own).alias("extract")))
 
 
 def main_text(source: str | None, template: dict[str, bool]) -> str:
-    """What remains of a page's slots after its host's template; an article, if there is one, is all that counts."""
+    """What remains of a page's slots after its host's template; an article, if there is one, is all that counts.
+
+    ``template`` has the tokens of valid classes and whether their slots are extracted; names decide for others.
+    """
     tokens, blocks = read_page(source or "")
-    use = [not t.skip and template.get(t.path, True) for t in tokens]
+    use, named = [], []
+    for t in tokens:
+        known = template.get(t.path)
+        named.append(known is None and (t.named or (bool(named) and named[t.above])))
+        use.append(not t.skip and not named[-1] and known is not False)
     article = any(t.inside and u and t.blocks for t, u in zip(tokens, use))
     if article:
         return "\n".join(x for at, x in blocks if use[at] and tokens[at].inside)
     plain = [(at, x) for at, x in blocks if use[at]]
-    dense = {i for i, t in enumerate(tokens) if 2 * t.link_chars > sum(map(len, t.blocks))}
+    dense = {i for i, t in enumerate(tokens) if 2 * t.link_chars > sum(map(len, t.blocks)) and t.path.rpartition("/")[2].partition(".")[0] not in LINKED_TEXT}
     return "\n".join(x for at, x in plain if at not in dense)
 
 
@@ -259,11 +311,8 @@ def extracted(pages: DataFrame) -> DataFrame:
     stay. No rows: no rows.
     """
     pages = pages.drop("text")
-    held = checkpoint(templates(pages.select("page_id", "url", "html")))
-    told = held.where("not extract").groupBy("host").agg(F.collect_set("path").alias("_own"))  # a host's tokens, as many as its pages' markup has
-    few = held.where("not extract").count() <= BROADCAST_TOKENS
-    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    joined = pages.withColumn("_host", host).join(F.broadcast(told) if few else told, F.col("_host") == F.col("host"), "left").drop("_host", "host")
+    held = templates(pages.select("page_id", "url", "html")).where("valid")
+    joined = _by_host(pages, held, F.struct("path", "extract"), "_template")
     names = pages.columns
     at = names.index("html")
     schema = pages.select("*", F.lit("").alias("text")).schema
@@ -271,7 +320,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = b.column(len(names))
-            texts = [main_text(h.as_py(), dict.fromkeys(o.as_py() or (), False)) for h, o in zip(b.column(at), own)]
+            texts = [main_text(h.as_py(), {x["path"]: x["extract"] for x in o.as_py() or ()}) for h, o in zip(b.column(at), own)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(texts, pa.string())], names=[*names, "text"])
 
     return joined.mapInArrow(run, schema)

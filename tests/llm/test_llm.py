@@ -209,6 +209,16 @@ def test_template_tells_constant_slots(spark):
     assert got == {i: f"Story {i} with words" for i in range(4)}
 
 
+def test_classes_decide_inside_articles(spark):
+    page = "<body><article><div class=popular><p>Story {n} has words</p></div><div class=zq><p>Constant box</p></div><p class=zr>Constant line</p></article></body>"
+    rows = [(i, f"http://a.example/{i}", page.replace("{n}", str(i))) for i in range(4)]
+    swapped = ["<div class=popular>One {n}</div><div class=zq>Box</div>", "<div class=zq>Box</div><div class=popular>One {n}</div>"]  # no class by their order: names decide
+    rows += [(4 + i, f"http://b.example/{i}", f"<body><article>{swapped[i % 2].replace('{n}', str(i))}</article></body>") for i in range(2)]
+    rows += [(6, "http://c.example/", page.replace("{n}", "6"))]
+    got = {r.page_id: r.text for r in extraction.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i} has words" for i in range(4)} | {4: "Box", 5: "Box", 6: "Constant box\nConstant line"}
+
+
 def test_pages_of_the_table(spark):
     for r in extraction.op4_html_extraction(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").drop("url"), "page_id").collect():
         inner = re.search(r"<article>(.*?)(?:</article>|\Z)", r.html, re.S)[1]
