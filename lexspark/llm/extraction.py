@@ -5,13 +5,13 @@ to them. Tokens of one host that occur equally often on the same pages share an
 and form an equivalence class. Tokens nest, since a path leads through the tokens around it. Tokens
 of a class inside one token are valid if several pages have them and they come in one order on all
 of these. Valid classes, nested, are the template; the text between its tokens are slots, inside
-articles too. A slot that holds the same text on its pages, or links for the most part, is the
-template's own; what remains is extracted, whatever its tokens are named. Tokens in no valid class
+articles too. A slot that holds the same text on its pages, while the rest of these pages differs, or
+links for the most part, is the template's own; what remains is extracted, whatever its tokens are named. Tokens in no valid class
 (of hosts with a single page, rare parts, parts that change places) take part by their names and
-those around them. Elements that HTML itself sets apart or hides never do.
+those around them. Elements that HTML itself sets apart or that a page hides never do, on that page.
 
-Only sums per (host, token) are gathered: pages, text, link text, and two hash sums, one of which
-identifies the occurrence vector and one tells whether all texts are equal. They are combined before
+Only sums per (host, token) are gathered: pages, text, link text, a hash sum that identifies the
+occurrence vector, and extremes of hashes that tell whether all texts are equal, and all rests of pages. They are combined before
 they are shuffled, so a host with a third of all pages is a few rows a task.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from urllib.parse import urlsplit
 
@@ -196,34 +196,51 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+_TOKENS = "host string, path string, pages long, vector decimal(38,0), least long, most long, chars long, links long, least_rest long, most_rest long"
+_REST = (1 << 63) - 1
+
+
+def _both(of: Callable[[int, int], int], a: int | None, b: int | None) -> int | None:
+    return a if b is None else b if a is None else of(a, b)
+
+
 def _hash(*parts: object) -> int:
     return xxhash.xxh64_intdigest("\x1f".join(map(str, parts)).encode("utf-8", "replace"), 4) >> 2  # sums of 4 fit, and wrap as long does not
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, skip, inside, pages, vector, same, chars, links) summed over the pages of a task."""
+    """Rows of ``_TOKENS`` summed over the pages of a task: texts of slots that are shown, and of the rest of their pages."""
     held: dict[tuple[str, str], list] = {}
 
     def rows() -> pa.RecordBatch:
         keys = list(held)
         cols = [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys])]
-        kinds = (pa.bool_(), pa.bool_(), pa.int64(), pa.decimal128(38), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        kinds = (pa.int64(), pa.decimal128(38), *[pa.int64()] * 6)
         cols += [pa.array([held[k][i] for k in keys], kind) for i, kind in enumerate(kinds)]
-        return pa.RecordBatch.from_arrays(cols, names=["host", "path", "skip", "inside", "pages", "vector", "least", "most", "chars", "links"])
+        return pa.RecordBatch.from_arrays(cols, names=["host", "path", "pages", "vector", "least", "most", "chars", "links", "least_rest", "most_rest"])
 
     for b in batches:
         for page, url, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
             host = host_of(url)
-            seen: dict[str, tuple[int, list[Token]]] = {}
+            seen: dict[str, list[Token]] = {}
             for t in read_page(source.as_py() or "")[0]:
-                n, own = seen.get(t.path, (0, []))
-                seen[t.path] = (n + 1, [*own, t])
-            for path, (n, own) in seen.items():
-                text = _hash(*[x for t in own for x in t.blocks])
-                chars, links = sum(len(x) for t in own for x in t.blocks), sum(t.link_chars for t in own)
-                new = [own[0].skip, own[0].inside, 1, _hash(page, n), text, text, chars, links]
+                seen.setdefault(t.path, []).append(t)
+            found = {}
+            for path, own in seen.items():
+                shown = [t for t in own if not t.skip and t.blocks]
+                told = _hash(path, *[x for t in shown for x in t.blocks]) if shown else 0
+                found[path] = (shown, told)
+            page_sum = sum(told for _, told in found.values())
+            for path, (shown, told) in found.items():
+                vector, rest = _hash(page, len(seen[path])), (page_sum - told) & _REST
+                new = [1, vector, None, None, 0, 0, None, None]
+                if shown:  # pages that hide a slot or leave it empty say nothing about its text
+                    text = _hash(*[x for t in shown for x in t.blocks])
+                    new = [1, vector, text, text, sum(len(x) for t in shown for x in t.blocks), sum(t.link_chars for t in shown), rest, rest]
                 old = held.get((host, path))
-                held[host, path] = new if old is None else [old[0], old[1], old[2] + 1, old[3] + new[3], min(old[4], text), max(old[5], text), old[6] + chars, old[7] + links]
+                if old is not None:
+                    new = [old[0] + 1, old[1] + vector, _both(min, old[2], new[2]), _both(max, old[3], new[3]), old[4] + new[4], old[5] + new[5], _both(min, old[6], new[6]), _both(max, old[7], new[7])]
+                held[host, path] = new
         if len(held) > 100_000:
             yield rows()
             held.clear()
@@ -262,10 +279,10 @@ def _by_host(pages: DataFrame, tokens: DataFrame, held: Column, name: str) -> Da
 
 def templates(pages: DataFrame) -> DataFrame:
     """``(host, path, class_id, valid, extract)``: the tokens of each host, their classes and what to do with their slots."""
-    raw = pages.mapInArrow(_occurrences, "host string, path string, skip boolean, inside boolean, pages long, vector decimal(38,0), least long, most long, chars long, links long")
+    raw = pages.mapInArrow(_occurrences, _TOKENS)
     tokens = raw.groupBy("host", "path").agg(
-        F.max("skip").alias("skip"), F.max("inside").alias("inside"), F.sum("pages").alias("pages"), F.sum("vector").alias("vector"),
-        F.min("least").alias("least"), F.max("most").alias("most"), F.sum("chars").alias("chars"), F.sum("links").alias("links"),
+        F.sum("pages").alias("pages"), F.sum("vector").alias("vector"), F.min("least").alias("least"), F.max("most").alias("most"),
+        F.sum("chars").alias("chars"), F.sum("links").alias("links"), (F.min("least_rest") != F.max("most_rest")).alias("rests"),
     )
     around = F.expr("left(path, greatest(length(path) - locate('/', reverse(path)), 0))")
     tokens = checkpoint(tokens.withColumn("class_id", F.xxhash64("vector", "pages")).withColumn("around", around))
@@ -276,12 +293,10 @@ def templates(pages: DataFrame) -> DataFrame:
     orders = orders.mapInArrow(_orders, "host string, class_id long, around string, least long, most long")
     unordered = orders.groupBy(*part).agg((F.min("least") != F.max("most")).alias("_unordered"))
     valid = (F.col("pages") > 1) & ~F.coalesce("_unordered", F.lit(False))
-    host = tokens.groupBy("host").agg(F.max(F.col("least") != F.col("most")).alias("varies"))  # else its pages are copies, which says nothing about slots
-    constant = F.col("varies") & (F.col("least") == F.col("most")) & (F.col("chars") > 0)
+    constant = F.coalesce(F.col("rests") & (F.col("least") == F.col("most")), F.lit(False))  # if the rests are equal too, its pages are copies, which says nothing about slots
     linked = (2 * F.col("links") > F.col("chars")) & ~F.regexp_extract("path", r"([^/.]*)[^/]*$", 1).isin(*LINKED_TEXT)
-    own = F.col("skip") | constant | linked
-    told = tokens.join(unordered, part, "left").withColumn("valid", valid).join(host, "host")
-    return checkpoint(told.select("host", "path", "class_id", "valid", (~own).alias("extract")))
+    told = tokens.join(unordered, part, "left").withColumn("valid", valid)
+    return checkpoint(told.select("host", "path", "class_id", "valid", (~(constant | linked)).alias("extract")))
 
 
 def main_text(source: str | None, template: dict[str, bool]) -> str:

@@ -219,6 +219,17 @@ def test_classes_decide_inside_articles(spark):
     assert got == {i: f"Story {i} has words" for i in range(4)} | {4: "Box", 5: "Box", 6: "Constant box\nConstant line"}
 
 
+def test_one_page_decides_for_itself_and_copies_say_nothing(spark):
+    page = "<body><article><div class=zq{h}><p>Story {n} has words</p></div></article></body>"
+    rows = [(i, f"http://a.example/{i}", page.replace("{n}", str(i)).replace("{h}", " hidden" if i % 3 == 0 else " style='color:red'")) for i in range(9)]
+    copy = "<body><div class=zr><p>One story, two addresses</p></div></body>"
+    rows += [(9, "http://b.example/1", copy), (10, "http://b.example/2", copy)] + [(i, f"http://b.example/{i}", f"<body><div class=zs>Other {i}</div></body>") for i in (11, 12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: "" if i % 3 == 0 else f"Story {i} has words" for i in range(9)} | {9: "One story, two addresses", 10: "One story, two addresses", 11: "Other 11", 12: "Other 12"}
+    for n in (1, 5):
+        assert {r.page_id: r.text for r in extraction.extracted(pages.repartition(n)).collect()} == want
+
+
 def test_pages_of_the_table(spark):
     for r in extraction.op4_html_extraction(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").drop("url"), "page_id").collect():
         inner = re.search(r"<article>(.*?)(?:</article>|\Z)", r.html, re.S)[1]
