@@ -450,4 +450,4 @@ def decode_pieces(encoded: DataFrame, pieces_col: str = "pieces", model: str = V
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sampled_segmentations(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "sample", F.size("pieces").cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_xxh64"), "log_prob", "perturbed", "inclusion", "round_trip")
+    return found.select("doc_id", "sample", "pieces", F.size("pieces").cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_xxh64"), "log_prob", "perturbed", "inclusion", "round_trip")

@@ -405,6 +405,12 @@ def test_samples_are_distinct_round_trips_that_hang_on_the_key(spark):
     assert pieces.sampled_segmentations(docs.limit(0)).count() == 0
 
 
+def test_query_has_its_segmentations(spark):
+    texts, v = dict(plain_docs(spark)), pieces.vocabulary()
+    for r in pieces.op9_sentencepiece(spark, SF).where("doc_id < 40").collect():
+        assert len(r.pieces) == r.n_pieces and pieces.decoded(np.asarray(r.pieces), v) == (texts[r.doc_id] or "").replace(pieces.SPACE, " ")
+
+
 # 10 sharding
 
 
