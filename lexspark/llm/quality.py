@@ -1,13 +1,17 @@
 """Quality rules in a short-circuit cascade, whose order comes from cost and selectivity on a sample.
 
-All of it is built-in SQL functions. ``text_stats`` derives the counts, ``RULES`` are conditions on
-a text, ``cascade`` orders them by rejected rows per second on a bounded sample and joins them into
-one CASE, which stops at the first rule that rejects. The order changes the time and the name of
-the rule that is reported, never the verdict.
+All of it is built-in SQL functions. ``STATS`` derive counts from a text, rules are conditions on
+counts. ``rule_order`` measures on a bounded sample what a rule costs, the derivation of its counts
+included, and what it rejects, and puts the most rejection per second first. ``cascade`` joins the
+rules into one CASE, which stops at the first that rejects. ``keep_good`` derives counts inside the
+CASE where it can, and repeats, which cost most, only for texts that the rules ordered before them have left. ``judged``
+has all counts as columns and decides on these. The order changes the time and the name of the rule
+that is reported, never the verdict.
 """
 
 from __future__ import annotations
 
+import functools
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -15,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import stored, table
+from lexspark.llm.common import n_words, stored, table
 
 _SPACE = " \t\n\x0b\x0c\r"
 _SPACES = r"[\x20\x09-\x0D]+"
@@ -54,10 +58,13 @@ def covered_words(places: Column, width: int = 3) -> Column:
     return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def _placed(df: DataFrame) -> DataFrame:
-    """``_words`` and then ``_placed`` and ``_places``, each a projection of its own, so that none is computed again in a lambda."""
+#: What ``text_stats`` adds.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def _places(df: DataFrame) -> DataFrame:
+    """``_places`` from ``_words``, in projections of their own, so that nothing is computed again in a lambda."""
     h = F.transform(windows_of(F.col("_words")), lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    df = df.withColumn("_words", words_of(F.col("text")))
     df = df.withColumn("_placed", F.sort_array(h))
     return df.withColumn("_places", repeats_of(F.col("_placed"))).drop("_placed")
 
@@ -73,8 +80,7 @@ def text_stats(docs: DataFrame) -> DataFrame:
     A window of three words counts as repeated if its XXH64 is found twice in the text. Null and
     blank texts have 0 everywhere (symbols of a null text too). Columns of these names are replaced.
     """
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    df = _placed(docs.drop(*names))
+    df = _places(docs.drop(*COUNTS).withColumn("_words", words_of(F.col("text"))))
     return df.withColumns({
         "n_words": F.size("_words").cast("long"),
         "word_chars": F.length(F.array_join("_words", "")).cast("long"),
@@ -84,107 +90,127 @@ def text_stats(docs: DataFrame) -> DataFrame:
     }).drop("_words", "_places")
 
 
-@dataclass(frozen=True)
-class Rule:
-    """A name, the condition under which a text is rejected, and whether the condition needs ``n_repeat_words``."""
-
-    name: str
-    rejects: Callable[[], Column]
-
-
-def _few_words() -> Column:
-    return F.col("n_words") < 50
-
-
-def _repetition() -> Column:
-    return 100 * F.col("n_repeat_words") > 50 * F.col("n_words")
-
-
-def _symbols() -> Column:
-    return 10 * F.col("n_symbols") > F.col("n_words")
-
-
-def _shouting() -> Column:
-    return 5 * F.regexp_count("text", F.lit(r"\p{Lu}")) > 2 * F.col("word_chars")
+#: What rules look at besides repeats, each from a text that is not null.
+STATS: dict[str, Callable[[Column], Column]] = {
+    "n_words": n_words,
+    "word_chars": lambda t: F.length(F.regexp_replace(t, _SPACES, "")).cast("long"),
+    "n_symbols": lambda t: F.regexp_count(t, F.lit(_SYMBOLS)).cast("long"),
+    "n_dup_lines": duplicate_lines,
+    "n_lines": lambda t: F.size(F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))),
+    "n_upper": lambda t: F.regexp_count(t, F.lit(r"\p{Lu}")),
+    "n_exclamations": lambda t: F.regexp_count(t, F.lit("!")),
+    "n_digits": lambda t: F.regexp_count(t, F.lit("[0-9]")),
+}
+Stat = Callable[[str], Column]
 
 
-def _exclamations() -> Column:
-    return 5 * F.regexp_count("text", F.lit("!")) > F.col("n_words")
+def derived(name: str) -> Column:
+    """A statistic of the column ``text``, derived where it is used."""
+    return STATS[name](F.coalesce(F.col("text"), F.lit("")))
 
 
-def _word_length() -> Column:
-    return (F.col("word_chars") > 12 * F.col("n_words")) | (2 * F.col("word_chars") < 5 * F.col("n_words"))
+def at_hand(columns: list[str]) -> Stat:
+    """Statistics of ``text_stats`` that are columns already; the others are derived."""
+    return lambda name: F.col(name) if name in COUNTS and name in columns else derived(name)
 
 
-def _lines_again() -> Column:
-    return 2 * F.col("n_dup_lines") > F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-
+@dataclass(frozen=True)
+class Rule:
+    """A name, the condition on statistics under which a text is rejected, and whether ``n_repeat_words`` is one of them."""
 
-def _digits() -> Column:
-    return 5 * F.regexp_count("text", F.lit("[0-9]")) > F.col("word_chars")
+    name: str
+    rejects: Callable[[Stat], Column]
+    repeats: bool = False
 
 
-#: The first two are the base of the verdict; the rest are the method's own, with limits that flowing prose keeps far from.
-BASE = (Rule("few_words", _few_words), Rule("repetition", _repetition))
-RULES = (Rule("symbols", _symbols), Rule("shouting", _shouting), Rule("exclamations", _exclamations), Rule("word_length", _word_length), Rule("lines_again", _lines_again), Rule("digits", _digits))
+#: The base of the verdict.
+BASE = (
+    Rule("few_words", lambda s: s("n_words") < 50),
+    Rule("repetition", lambda s: 100 * s("n_repeat_words") > 50 * s("n_words"), repeats=True),
+)
+#: The method's own, with limits that flowing prose keeps far from.
+RULES = (
+    Rule("symbols", lambda s: 10 * s("n_symbols") > s("n_words")),
+    Rule("shouting", lambda s: 5 * s("n_upper") > 2 * s("word_chars")),
+    Rule("exclamations", lambda s: 5 * s("n_exclamations") > s("n_words")),
+    Rule("word_length", lambda s: (s("word_chars") > 12 * s("n_words")) | (2 * s("word_chars") < 5 * s("n_words"))),
+    Rule("lines_again", lambda s: 2 * s("n_dup_lines") > s("n_lines")),
+    Rule("digits", lambda s: 5 * s("n_digits") > s("word_chars")),
+)
 
 
-def rule_order(stats: DataFrame, rules: tuple[Rule, ...] = BASE + RULES, sample_rows: int = 2_000, seed: int = 7) -> list[tuple[Rule, float, float]]:
+def rule_order(docs: DataFrame, rules: tuple[Rule, ...] = BASE + RULES, sample_rows: int = 2_000, seed: int = 7) -> list[tuple[Rule, float, float]]:
     """Rules with the seconds and the rejected share of each on a sample, the most rejection per cost first.
 
     The sample is a Bernoulli sample of about ``sample_rows`` rows (a documented bound: it sets the
-    order only). Cost: the time that Spark takes to evaluate the rule over the stored sample beyond
-    the time of reading it. An empty table leaves the rules as given.
+    order only). Cost: the time that Spark takes to evaluate the rule with all that it derives over
+    the stored texts, beyond the time of reading them. Ties go to the cheaper rule. An empty table
+    leaves the rules as given.
     """
-    rows = stats.count()
+    rows = docs.count()
     if not rows:
         return [(r, 0.0, 0.0) for r in rules]
-    sample = stored(stats.sample(min(1.0, sample_rows / rows), seed), "quality_sample").repartition(2).cache()
+    sample = stored(docs.select("text").sample(min(1.0, sample_rows / rows), seed), "quality_sample").repartition(2).cache()
     total = max(1, sample.count())
 
-    def timed(value: Column) -> tuple[float, int]:
+    def timed(source: DataFrame, value: Column) -> tuple[float, int]:
         began = time.perf_counter()
-        found = sample.agg(value).first()[0]
+        found = source.agg(value).first()[0]
         return time.perf_counter() - began, found or 0
 
-    idle = min(timed(F.count(F.col("text")))[0] for _ in range(2))
+    idle = min(timed(sample, F.count(F.col("text")))[0] for _ in range(2))
     found = []
     for r in rules:
-        seconds, rejected = timed(F.count_if(r.rejects()))
+        source, stat = (_repeats(_words(sample)), _own) if r.repeats else (sample, derived)
+        seconds, rejected = timed(source, F.count_if(r.rejects(stat)))
         found.append((r, max(1e-4, seconds - idle), rejected / total))
     sample.unpersist()
     return sorted(found, key=lambda x: (-x[2] / x[1], x[1]))
 
 
-def cascade(stats: DataFrame, order: list[tuple[Rule, float, float]]) -> DataFrame:
-    """``stats`` with ``rejected_by``: the first rule in the order that rejects, else null. CASE stops there."""
+def first_reason(order: list[tuple[Rule, float, float]], stat: Stat) -> Column:
+    """The first rule in the order that rejects, else null; a CASE, which stops there."""
     reason = F.lit(None).cast("string")
     for rule, _, _ in reversed(order):
-        reason = F.when(rule.rejects(), F.lit(rule.name)).otherwise(reason)
-    return stats.withColumn("rejected_by", reason)
+        reason = F.when(rule.rejects(stat), F.lit(rule.name)).otherwise(reason)
+    return reason
+
+
+def cascade(docs: DataFrame, order: list[tuple[Rule, float, float]]) -> DataFrame:
+    """``docs`` with ``rejected_by``; statistics that ``docs`` has as columns are not derived again."""
+    return docs.withColumn("rejected_by", first_reason(order, at_hand(docs.columns)))
 
 
 def judged(docs: DataFrame, sample_rows: int = 2_000) -> DataFrame:
     """``docs`` with its ``text_stats``, base_failed, rejected_by and kept.
 
-    Every row gets a verdict. Null and blank texts fail the base for want of words. Ties of
-    rejection per cost go to the cheaper rule. No rows: no rows.
+    Every row gets a verdict. Null and blank texts fail the base for want of words. No rows: no rows.
     """
     stats = text_stats(docs.drop("base_failed", "rejected_by", "kept"))
-    base = F.coalesce(_few_words() | _repetition(), F.lit(True))
-    own = cascade(stats, rule_order(_sample_of(docs, sample_rows), RULES, sample_rows))
-    return own.withColumn("base_failed", base).withColumn("kept", ~base & F.col("rejected_by").isNull())
+    base = functools.reduce(lambda a, b: a | b, [r.rejects(at_hand(stats.columns)) for r in BASE])
+    own = cascade(stats, rule_order(docs, BASE + RULES, sample_rows))
+    return own.withColumn("base_failed", base).withColumn("kept", F.col("rejected_by").isNull())
 
 
-def _sample_of(docs: DataFrame, sample_rows: int) -> DataFrame:
-    """Statistics of a sample alone, so that they are not derived for all rows twice."""
-    rows = docs.count()
-    return text_stats(docs.select("text").sample(min(1.0, 2 * sample_rows / max(1, rows)), 11))
+def _words(df: DataFrame) -> DataFrame:
+    df = df.withColumn("_words", _once(words_of(F.col("text"))))
+    return df.withColumns({"_n_words": _once(F.size("_words").cast("long")), "_word_chars": _once(F.length(F.array_join("_words", "")).cast("long"))})
+
+
+def _repeats(df: DataFrame) -> DataFrame:
+    return _places(df).withColumn("_n_repeat_words", _once(covered_words(F.col("_places"))))
+
+
+def _own(name: str) -> Column:
+    return F.col(f"_{name}") if name in {"n_words", "word_chars", "n_repeat_words"} else derived(name)
 
 
 def keep_good(docs: DataFrame, sample_rows: int = 2_000) -> DataFrame:
-    """The rows of ``docs`` that no rule rejects, its columns unchanged."""
-    return judged(docs, sample_rows).where("kept").select(docs.columns)
+    """The rows of ``docs`` that no rule rejects, its columns unchanged; names that begin with ``_`` must not clash with the counts' own."""
+    order = rule_order(docs, BASE + RULES, sample_rows)
+    late = next(i for i, (r, _, _) in enumerate(order) if r.repeats)
+    left = _words(docs).where(first_reason(order[:late], _own).isNull())
+    return _repeats(left).where(first_reason(order[late:], _own).isNull()).select(docs.columns)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
