@@ -3,16 +3,20 @@
 A lexicon of words that go with the label is counted on labelled rows. Its words form a trie; the
 automata that accept a word with one edit are intersected with the trie and made deterministic as
 words come, so most words fail within a few characters, without a look at the lexicon's size. Hits
-count by how they were matched (as spelled, misspelled) and by their context window (spoken to the
-reader, or inside quotation marks or a quoted line). A logistic model of these few numbers, fitted
-on a bounded sample of labelled rows, gives the score.
+count by how they were matched (as spelled, misspelled) and by two scores of their context window:
+whether it is inside quotation marks or a quoted line, and the mean weight of the words around the
+hit. These weights are learnt too: how much oftener a word stands near hits of toxic texts than near
+those of others, so reporting verbs, negations and forms of address tell mention from abuse wherever
+the labels show it. A logistic model of these few numbers, fitted on a bounded sample of labelled
+rows, gives the score.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from types import MappingProxyType
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +25,15 @@ from pyspark.sql import functions as F
 
 from lexspark.llm.common import checkpoint, table
 
-#: Labelled rows that the lexicon and the model are fitted on, and words of the lexicon, at most.
-FIT_ROWS, LEXICON_WORDS = 30_000, 2_000
+#: Labelled rows that the lexicon, the context weights and the model are fitted on, at most. What is learnt has no bound of its own.
+FIT_ROWS = 30_000
 #: Words shorter than this are matched as spelled only.
 FUZZY_LENGTH = 5
 #: Characters on both sides of a hit that its context is read from.
 CONTEXT = 120
-FEATURES = ("exact", "misspelled", "quoted", "distinct", "weight", "density")
+#: Words on both sides of a hit that are its context window, and texts that a word must be found in near hits to have a weight.
+NEAR_WORDS, NEAR_TEXTS = 6, 8
+FEATURES = ("exact", "misspelled", "quoted", "distinct", "weight", "density", "context")
 _WORD = re.compile(r"[^\W\d_]+")
 _QUOTES = "\"“”„«»‹›"
 
@@ -121,11 +127,16 @@ def quoted(text: str, start: int, end: int) -> bool:
     return marks % 2 == 1 and any(c in _QUOTES for c in after.partition("\n")[0])
 
 
-def features(text: str, matches: _Matches, weights: list[float]) -> list[float]:
+def near_words(words: list[str], hits: list[int], matches: _Matches) -> list[set[str]]:
+    """For each hit, given by its place among the words, the other words of its window that are no hits."""
+    return [{w for w in words[max(0, i - NEAR_WORDS) : i + NEAR_WORDS + 1] if not matches[w]} for i in hits]
+
+
+def features(text: str, matches: _Matches, weights: list[float], near: Mapping[str, float] = MappingProxyType({})) -> list[float]:
     """Numbers of a text in the order of ``FEATURES``, all 0 for one without a hit."""
     low = text.lower()
     words = _WORD.findall(low)
-    hits = [m for m in map(matches.__getitem__, words) if m]
+    hits = [i for i, m in enumerate(map(matches.__getitem__, words)) if m]
     if not hits:
         return [0.0] * len(FEATURES)
     exact = misspelled = inside = 0
@@ -142,10 +153,11 @@ def features(text: str, matches: _Matches, weights: list[float]) -> list[float]:
             exact += 1
         seen.add(hit[0])
     top = sorted((weights[i] for i in seen), reverse=True)[:3]
-    return [math.log1p(exact), math.log1p(misspelled), math.log1p(inside), math.log1p(len(seen)), sum(top), 100 * (exact + misspelled) / len(words)]
+    around = [sum(near.get(w, 0.0) for w in own) / (len(own) + 1) for own in near_words(words, hits, matches)]
+    return [math.log1p(exact), math.log1p(misspelled), math.log1p(inside), math.log1p(len(seen)), sum(top), 100 * (exact + misspelled) / len(words), sum(around) / len(around)]
 
 
-def with_features(docs: DataFrame, lexicon: list[tuple[str, float, bool]], text_col: str = "text") -> DataFrame:
+def with_features(docs: DataFrame, lexicon: list[tuple[str, float, bool]], near: dict[str, float], text_col: str = "text") -> DataFrame:
     """``docs`` with ``features``, an array in the order of ``FEATURES``; null texts have zeros."""
     words, weights, fuzzy = ([x[i] for x in lexicon] for i in range(3))
     names = docs.columns
@@ -154,20 +166,46 @@ def with_features(docs: DataFrame, lexicon: list[tuple[str, float, bool]], text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matches = _Matches(LexiconAutomaton(words, fuzzy))
         for b in batches:
-            found = pa.array([features(t.as_py() or "", matches, weights) for t in b.column(at)], pa.list_(pa.float64()))
+            found = pa.array([features(t.as_py() or "", matches, weights, near) for t in b.column(at)], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*b.columns, found], names=[*names, "features"])
 
     schema = docs.select("*", F.array().cast("array<double>").alias("features")).schema
     return docs.mapInArrow(run, schema)
 
 
-def learn_lexicon(labelled: DataFrame, most: int = LEXICON_WORDS) -> list[tuple[str, float, bool]]:
+def learn_context(labelled: DataFrame, lexicon: list[tuple[str, float, bool]]) -> dict[str, float]:
+    """Log-odds of words near hits in toxic texts against those near hits in other texts of ``labelled(text, label)``.
+
+    A word counts once a text. Words that fewer than ``NEAR_TEXTS`` texts have near hits weigh
+    nothing, the others are drawn towards nothing by one text on each side.
+    """
+    words, _, fuzzy = ([x[i] for x in lexicon] for i in range(3))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matches = _Matches(LexiconAutomaton(words, fuzzy))
+        for b in batches:
+            rows = []
+            for t, label in zip(b.column(0), b.column(1).to_pylist()):
+                own = _WORD.findall((t.as_py() or "").lower())
+                hits = [i for i, w in enumerate(own) if matches[w]]
+                if hits:
+                    rows += [(w, label) for w in {"", *set().union(*near_words(own, hits, matches))}]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32())], names=["word", "label"])
+
+    found = labelled.select("text", F.col("label").cast("int")).mapInArrow(run, "word string, label int")
+    counts = found.groupBy("word").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+    kept = {r.word: (r.pos, r.neg) for r in counts.where(F.col("pos") + F.col("neg") >= NEAR_TEXTS).collect()}  # words of the labelled sample's windows
+    pos, neg = kept.pop("", (0, 0))  # texts with hits
+    return {w: math.log((p + 1) / (pos + 2)) - math.log((n + 1) / (neg + 2)) for w, (p, n) in kept.items()}
+
+
+def learn_lexicon(labelled: DataFrame) -> list[tuple[str, float, bool]]:
     """(word, log-odds, whether misspellings count) from ``labelled(text, label)``, by significance.
 
     Words are counted once a text and equal texts once. A word is taken if it is found in three
     toxic texts or more, ten times as often there as in others, with a log-likelihood ratio of 13
     or more. Misspellings of a word count if words one edit away are not found in clean texts more
-    than in toxic ones.
+    than in toxic ones. The lexicon is as large as these rules make it; the rows it is learnt from are bounded.
     """
     texts = labelled.select(F.lower("text").alias("text"), "label").groupBy("text").agg(F.max("label").alias("label"))
     texts = checkpoint(texts.select("label", F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("words")))
@@ -180,7 +218,7 @@ def learn_lexicon(labelled: DataFrame, most: int = LEXICON_WORDS) -> list[tuple[
     part = lambda o, share: F.when(F.col(o) > 0, F.col(o) * F.log(F.col(o) / (F.lit(share) * (F.col("pos") + F.col("neg"))))).otherwise(0.0)
     ratio = 2 * (part("pos", n_pos / (n_pos + n_neg)) + part("neg", n_neg / (n_pos + n_neg)))
     chosen = counts.where("pos >= 3 and length(word) >= 3").withColumn("odds", odds).withColumn("ratio", ratio)
-    chosen = chosen.where((F.col("odds") >= math.log(10)) & (F.col("ratio") >= 13)).orderBy(F.desc("ratio"), "word").limit(most).select("word", "odds").collect()
+    chosen = chosen.where((F.col("odds") >= math.log(10)) & (F.col("ratio") >= 13)).orderBy(F.desc("ratio"), "word").select("word", "odds").collect()
     if not chosen:
         return []
     words = [r.word for r in chosen]
@@ -235,7 +273,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
     fit = checkpoint(docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "label"))
     lexicon = learn_lexicon(fit)
-    taught = with_features(fit, lexicon).select("features", "label").toPandas() if lexicon else None  # fit_rows rows
+    near = learn_context(fit, lexicon) if lexicon else {}
+    taught = with_features(fit, lexicon, near).select("features", "label").toPandas() if lexicon else None  # fit_rows rows
     if taught is None or not len(taught):
         coefficients, base = np.zeros(len(FEATURES)), math.log(0.01 / 0.99)
     else:
@@ -243,7 +282,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
     total = F.lit(base)
     for i, w in enumerate(coefficients):
         total = total + F.lit(float(w)) * F.get("features", F.lit(i))
-    scored = with_features(docs.select("doc_id", "text"), lexicon)
+    scored = with_features(docs.select("doc_id", "text"), lexicon, near)
     return scored.select("doc_id", held_out().alias("held_out"), (1 / (1 + F.exp(-total))).alias("score"))
 
 
