@@ -21,7 +21,6 @@ import html as entities
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 import xxhash
@@ -33,12 +32,13 @@ from lexspark.llm.common import checkpoint, table
 #: Templates of so many tokens in all are broadcast; beyond that pages are joined with them by host.
 BROADCAST_TOKENS = 200_000
 
-# Element and class names of HTML that say what an element is for.
+# Element names and roles of HTML, and common class names, that say what an element is for.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "template", "svg", "math", "object", "canvas"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "nobr", "q", "rb", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "label"}
 BLOCKS_IN_TEXT = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "blockquote", "pre", "figure", "figcaption", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "hr", "address", "center", "hgroup"}
 NOT_TEXT = RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "input", "fieldset", "legend", "audio", "video", "map", "applet", "datalist", "output", "progress", "meter"}
+UNBROKEN = {"script", "style", "noscript", "template", "svg", "math", "object", "canvas", "iframe", "button", "select", "datalist", "output", "progress", "meter", "audio", "video", "map"}  # may stand inside a text block, which goes on after them
 LINKED_TEXT = {"article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6"}  # may be a link as a whole
 NOT_TEXT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "tablist"}
 NOT_TEXT_NAMES = set(
@@ -49,6 +49,8 @@ NOT_TEXT_NAMES = set(
     "comment comments commentlist discussion disqus replies reply respond reviews reactions share sharing social follow tags toolbar "
     "search form hidden noprint print skip tracking legal disclaimer".split()
 )
+BOX_NAMES = set("area bar block box btn button buttons bottom col column container content group holder icons inner item items left link links list main panel post posts right row section site slot top unit wrap wrapper".split())
+ARTICLE_PARTS = {"header", "foot", "footer", "print", "legal", "tags"}  # may name parts of an article itself
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.S)
 _IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -82,7 +84,7 @@ def _names(attributes: str) -> tuple[list[str], dict[str, str]]:
     held = {}
     for m in _ATTRIBUTE.finditer(attributes):
         held.setdefault(m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or ""))
-    names = re.findall(r"[a-z]+", f"{held.get('class', '')} {held.get('id', '')}".lower())
+    names = f"{held.get('class', '')} {held.get('id', '')}".lower().split()
     return names, held
 
 
@@ -94,8 +96,21 @@ def _is_skipped(tag: str, held: dict[str, str], inside: bool) -> bool:
     return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", held.get("style", ""), re.I))
 
 
-def _is_named(tag: str, names: list[str]) -> bool:
-    return tag not in {"html", "body", "main"} and any(n in NOT_TEXT_NAMES for n in names)
+def _is_named(tag: str, names: list[str], inside: bool) -> bool:
+    """Whether a class or id says what is not text, as a whole: "comment-list" does, "legal-news" and "share-price" do not."""
+    if tag in {"html", "body", "main", "article"}:
+        return False
+    for name in names:
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        told = [w for w in words if w in NOT_TEXT_NAMES and not (inside and w in ARTICLE_PARTS)]
+        if told and all(w in BOX_NAMES or w in told for w in words):
+            return True
+    return False
+
+
+def _path_names(names: list[str]) -> list[str]:
+    """The words of classes and ids, without numbers that differ from page to page."""
+    return sorted({w for name in names for w in re.split(r"[^a-z]+", name) if w})
 
 
 def read_page(source: str) -> tuple[list[Token], list[tuple[int, str]]]:
@@ -108,7 +123,7 @@ def read_page(source: str) -> tuple[list[Token], list[tuple[int, str]]]:
     blocks: list[tuple[int, str]] = []
     stack: list[tuple[_Element, int]] = [(_Element("", "", False, False, False, False), 0)]
     parts: list[str] = []
-    linked = 0
+    linked = mute = 0
 
     def flush() -> None:
         nonlocal parts, linked
@@ -124,7 +139,7 @@ def read_page(source: str) -> tuple[list[Token], list[tuple[int, str]]]:
     while True:
         m = _MARKUP.search(source, at)
         text = source[at : m.start() if m else len(source)]
-        if text:
+        if text and not mute:
             parts.append(text)
             if stack[-1][0].link:
                 linked += len(text.strip())
@@ -141,25 +156,36 @@ def read_page(source: str) -> tuple[list[Token], list[tuple[int, str]]]:
                 parts.append(" ")
             if not any(e.tag == tag for e, _ in stack):
                 continue
-            if tag not in INLINE:
+            if tag not in INLINE and tag not in UNBROKEN and not mute:
                 flush()
             while stack[-1][0].tag != tag:
-                if stack[-1][0].tag not in INLINE:
+                if stack[-1][0].tag not in INLINE and stack[-1][0].tag not in UNBROKEN and not mute:
                     flush()
-                stack.pop()
-            stack.pop()
+                mute -= stack.pop()[0].tag in UNBROKEN
+            mute -= stack.pop()[0].tag in UNBROKEN
             continue
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in UNBROKEN and not mute:
             flush()
         if tag in VOID:
             if tag in {"br", "wbr", "img"}:
                 parts.append("" if tag == "wbr" else " ")
             continue
         names, held = _names(m[3])
+        if tag in UNBROKEN:  # neither text nor the end of a text block
+            if m[0].endswith("/>"):
+                continue
+            if tag in RAW:
+                end = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(source, at)
+                at = end.end() if end else len(source)
+            else:
+                stack.append((_Element(tag, stack[-1][0].path, True, False, stack[-1][0].inside, False), stack[-1][1]))
+                mute += 1
+            continue
         if tag not in INLINE:  # a text block ends where the next begins, and inline elements end with it
             closes = _IMPLIED.get(tag) or ({"p"} if tag in BLOCKS_IN_TEXT or tag in _SCOPE else set())
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0].tag in closes:
+                    mute -= sum(e.tag in UNBROKEN for e, _ in stack[i:])
                     del stack[i:]
                     break
                 if stack[i][0].tag in _SCOPE:
@@ -167,13 +193,13 @@ def read_page(source: str) -> tuple[list[Token], list[tuple[int, str]]]:
         above, place = stack[-1]
         inside = above.inside or tag in {"article", "main"} or held.get("role", "").lower() in {"main", "article"}
         skip = above.skip or _is_skipped(tag, held, above.inside)
-        own = _is_named(tag, names)
+        own = _is_named(tag, names, above.inside)
         named = above.named or own
         boxed = tag in BLOCKS_IN_TEXT and names  # a text block with a name of its own may be a box of the template
         structural = tag not in INLINE and tag not in BLOCKS_IN_TEXT or boxed or ((skip or named) and not (above.skip or above.named))
         path = above.path
         if structural:
-            path = f"{above.path}/{'.'.join([tag, *sorted(set(names))])}"
+            path = f"{above.path}/{'.'.join([tag, *_path_names(names)])}"
             tokens.append(Token(path, skip, inside, own, place))
             place = len(tokens) - 1
         if not m[0].endswith("/>") or tag not in {"svg", "math", "object"}:
@@ -181,19 +207,13 @@ def read_page(source: str) -> tuple[list[Token], list[tuple[int, str]]]:
         if tag in RAW and not m[0].endswith("/>"):
             end = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(source, at)
             at = end.start() if end else len(source)
-            parts = []
-            if tag in {"title", "textarea"}:
-                parts = []
     flush()
     return tokens, blocks
 
 
-def host_of(url: str | None) -> str:
-    """The host of an address in lower case; empty for none or one that is not an address."""
-    try:
-        return (urlsplit(url or "").hostname or "").lower()
-    except ValueError:
-        return ""
+def host_of(url: Column) -> Column:
+    """The host of an address in lower case, with or without a scheme; empty for none."""
+    return F.lower(F.coalesce(F.regexp_extract(url, r"^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1), F.lit("")))
 
 
 _TOKENS = "host string, path string, pages long, vector decimal(38,0), least long, most long, chars long, links long, least_rest long, most_rest long"
@@ -220,8 +240,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(cols, names=["host", "path", "pages", "vector", "least", "most", "chars", "links", "least_rest", "most_rest"])
 
     for b in batches:
-        for page, url, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-            host = host_of(url)
+        for page, host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
             seen: dict[str, list[Token]] = {}
             for t in read_page(source.as_py() or "")[0]:
                 seen.setdefault(t.path, []).append(t)
@@ -252,10 +271,10 @@ def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, class_id, around, least, most): hashes of the orders in which tokens of a class come inside one token."""
     held: dict[tuple[str, int, str], tuple[int, int]] = {}
     for b in batches:
-        for url, source, asked in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+        for host, source, asked in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
             if not asked.is_valid:
                 continue
-            host, classes, found = host_of(url), {x["path"]: x["class_id"] for x in asked.as_py()}, {}
+            classes, found = {x["path"]: x["class_id"] for x in asked.as_py()}, {}
             for path in dict.fromkeys(t.path for t in read_page(source.as_py() or "")[0]):
                 if path in classes:
                     found.setdefault((host, classes[path], path.rpartition("/")[0]), []).append(path)
@@ -271,15 +290,14 @@ def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _by_host(pages: DataFrame, tokens: DataFrame, held: Column, name: str) -> DataFrame:
     """``pages`` with what is held of their host's tokens, null for none."""
-    told = tokens.groupBy("host").agg(F.collect_list(held).alias(name))  # a host's tokens, as many as its pages' markup has
+    told = tokens.groupBy(F.col("host").alias("_of")).agg(F.collect_list(held).alias(name))  # a host's tokens, as many as its pages' markup has
     few = tokens.count() <= BROADCAST_TOKENS
-    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    return pages.withColumn("_host", host).join(F.broadcast(told) if few else told, F.col("_host") == F.col("host"), "left").drop("_host", "host")
+    return pages.join(F.broadcast(told) if few else told, host_of(pages["url"]) == told["_of"], "left").drop(told["_of"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """``(host, path, class_id, valid, extract)``: the tokens of each host, their classes and what to do with their slots."""
-    raw = pages.mapInArrow(_occurrences, _TOKENS)
+    raw = pages.select("page_id", host_of(F.col("url")).alias("host"), "html").mapInArrow(_occurrences, _TOKENS)
     tokens = raw.groupBy("host", "path").agg(
         F.sum("pages").alias("pages"), F.sum("vector").alias("vector"), F.min("least").alias("least"), F.max("most").alias("most"),
         F.sum("chars").alias("chars"), F.sum("links").alias("links"), (F.min("least_rest") != F.max("most_rest")).alias("rests"),
@@ -289,7 +307,7 @@ def templates(pages: DataFrame) -> DataFrame:
     part = ["host", "class_id", "around"]
     several = tokens.where("pages > 1").groupBy(*part).agg(F.count("*").alias("n")).where("n > 1").drop("n")
     asked = tokens.join(several, part, "left_semi")
-    orders = _by_host(pages, asked, F.struct("path", "class_id"), "_asked").select("url", "html", "_asked")
+    orders = _by_host(pages, asked, F.struct("path", "class_id"), "_asked").select(host_of(F.col("url")).alias("host"), "html", "_asked")
     orders = orders.mapInArrow(_orders, "host string, class_id long, around string, least long, most long")
     unordered = orders.groupBy(*part).agg((F.min("least") != F.max("most")).alias("_unordered"))
     valid = (F.col("pages") > 1) & ~F.coalesce("_unordered", F.lit(False))
