@@ -19,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset and everything runs in one JVM."""
     sc = spark.sparkContext
     held = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not held:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         held = f"file://{tempfile.mkdtemp(prefix='lexspark-')}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(held)
