@@ -13,6 +13,9 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='lexspark-')}"
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base}/lexspark-{uuid.uuid4().hex}"
