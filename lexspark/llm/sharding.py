@@ -33,25 +33,45 @@ def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
     return order
 
 
+def _told_apart(docs: DataFrame, seed: int) -> DataFrame:
+    """``docs`` with ``_key``, a hash of the whole row and, for rows that repeat, of their number.
+
+    Rows that repeat are found by their hashes and, if there are any, counted and set out again; the count
+    is combined in each task first, however often a row repeats.
+    """
+    names = docs.columns
+    docs = docs.withColumn("_row", F.xxhash64(F.lit(seed), *names))
+    again = checkpoint(docs.groupBy("_row").agg(F.count("*").alias("n")).where("n > 1").select("_row"))
+    single = docs.withColumn("_key", F.col("_row")).drop("_row")
+    if again.isEmpty():
+        return single
+    single = docs.join(again, "_row", "left_anti").withColumn("_key", F.col("_row"))
+    counted = docs.join(again, "_row", "left_semi").groupBy("_row", *names).agg(F.count("*").alias("_n"))
+    several = counted.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).withColumn("_key", F.xxhash64("_row", "_i"))
+    return single.select(*names, "_key").unionByName(several.select(*names, "_key"))
+
+
 def shuffled_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 10, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Write ``docs`` as Parquet to ``path``/shard=k in a random order and return what was written.
 
     Columns: those of ``docs`` and ``shard`` and ``slot`` (place in the shard, from 0, without
     gaps); clashing columns of ``docs`` are replaced. Counts of shards are at most one apart. The
     order depends on the seed, the rows and the number of buckets, not on partitioning; reruns
-    agree. Equal texts do not share a bucket, because doc_id is hashed too; rows that repeat with
-    their doc_id do, and are in one bucket in any order. Null ids and texts are hashed as such. No
-    rows: an empty table.
+    agree. Equal texts are dealt apart, because doc_id is hashed too: law ``rows`` leaves no room to keep a
+    group of copies in one shard. Rows that repeat as a whole are told apart by numbers, so a row that
+    repeats without end is dealt over all buckets too. A text longer than a bucket is in one of its
+    own size. Null ids and texts are hashed as such. No rows: an empty table.
     """
     spark = docs.sparkSession
-    docs = docs.drop("shard", "slot", "_bucket", "_key")
+    docs = docs.drop("shard", "slot", "_bucket", "_key", "_row", "_n", "_i")
     rows, size = docs.agg(F.count("*"), F.sum(record_size(F.col("text")))).first()
     if not rows:
         return docs.withColumns({"slot": F.lit(0).cast("long"), "shard": F.lit(0)}).where("false")
     buckets = max(1, -(-size // bucket_bytes))
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
-    dealt = docs.withColumn("_key", key).withColumn("_bucket", F.pmod(F.shiftright(key, 20), F.lit(buckets)).cast("int"))
-    counts = checkpoint(docs.select(F.pmod(F.shiftright(key, 20), F.lit(buckets)).cast("int").alias("_bucket")).groupBy("_bucket").agg(F.count("*").alias("n")))
+    bucket = F.pmod(F.shiftright("_key", 20), F.lit(buckets)).cast("int")
+    keyed = _told_apart(docs, seed)
+    dealt = keyed.withColumn("_bucket", bucket)
+    counts = checkpoint(keyed.select(bucket.alias("_bucket")).groupBy("_bucket").agg(F.count("*").alias("n")))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("_start"))
     schema = T.StructType([*docs.schema.fields, T.StructField("_bucket", T.IntegerType()), T.StructField("_place", T.LongType())])
@@ -59,7 +79,7 @@ def shuffled_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 10,
 
     def shuffle(t: pa.Table) -> pa.Table:
         bucket = t["_bucket"][0].as_py()
-        t = t.sort_by([("_key", "ascending"), ("doc_id", "ascending")])
+        t = t.sort_by("_key")
         t = t.take(pa.array(fisher_yates(len(t), seed, bucket)))
         return t.select([*names, "_bucket"]).append_column("_place", pa.array(np.arange(len(t))))
 

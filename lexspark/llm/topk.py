@@ -1,7 +1,8 @@
 """Exact top-k search by integer inner product: columnar branch-and-bound over blocks of dimensions.
 
 Queries and candidates are dealt into blocks of bounded size; each pair of blocks meets in one
-cogrouped task. There, scores are accumulated dimension block by dimension block over columns of
+cogrouped task. A candidate is sent once for each ``QUERY_BLOCK`` queries, so what is shuffled is the
+product of both tables only beyond that many. There, scores are accumulated dimension block by dimension block over columns of
 the candidates (vertical layout). After each block, Cauchy-Schwarz on what is left of both vectors
 (their remaining mass) bounds the final score, and the candidates that can still be among the best
 of a query are compacted for its next block. The best of each pair of blocks meet in a last ranking.
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 
 from lexspark.llm.common import checkpoint, table
 
-QUERY_BLOCK, CANDIDATE_BLOCK, DIMENSIONS = 256, 8_192, 16
+#: Queries and candidates that meet in a task, queries that are scored at once there, dimensions in a block.
+QUERY_BLOCK, CANDIDATE_BLOCK, SCORED_AT_ONCE, DIMENSIONS = 8_192, 8_192, 256, 16
 
 
 def quantised(vector: Column, scale: float = 256.0) -> Column:
@@ -72,10 +74,13 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
     Vectors that are null, empty or hold null or non-finite components take no part, as do rows without
     an id; vectors of different lengths never meet. Ties go to the smaller id; fewer rows than k: all of
     them. Rows of a repeated id are candidates of their own, none of them for a query of that id, and
-    a repeated query counts once, by its smallest vector. No rows: no rows.
+    a repeated query counts once, by its smallest vector. Other columns are not read. No rows: no rows.
     """
     kept = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col)).alias("v"), queries.alias("is_query"))
     kept = checkpoint(kept.where("id is not null and v is not null").withColumn("n", F.size("v")).where("n > 0"))
+    largest = kept.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 0
+    if largest < 1 << 31:  # half the bytes on the way
+        kept = kept.withColumn("v", F.col("v").cast("array<int>"))
     asked = kept.where("is_query").groupBy("id", "n").agg(F.min("v").alias("v"))
     n_rows, n_asked = kept.count(), asked.count()
     parts, groups = -(-n_rows // CANDIDATE_BLOCK) or 1, -(-n_asked // QUERY_BLOCK) or 1
@@ -90,7 +95,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
             dims = key[2].as_py()
             q, c = (np.asarray(t["v"].combine_chunks().flatten(), dtype=np.int64).reshape(-1, dims) for t in (a, b))
             q_ids, c_ids = (np.asarray(t["id"], dtype=np.int64) for t in (a, b))
-            out = [(np.full(len(ids), one), ids, s) for one, (ids, s) in zip(q_ids, best_of_block(q, q_ids, c, c_ids, k))]
+            for i in range(0, len(q), SCORED_AT_ONCE):
+                part = slice(i, i + SCORED_AT_ONCE)
+                out += [(np.full(len(ids), one), ids, s) for one, (ids, s) in zip(q_ids[part], best_of_block(q[part], q_ids[part], c, c_ids, k))]
         cols = [np.concatenate(x) if out else np.empty(0, np.int64) for x in (zip(*out) if out else ([], [], []))]
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, cols))))
 
