@@ -7,7 +7,9 @@ there is about one seed row for five windows. Windows whose seed no other docume
 
 The rest become edge rows with their coordinates and a second, independent hash. The first
 occurrence of an edge, by doc_id and place, is its source; an edge counts as repeated there only if
-the second hash at the source's coordinates agrees. Consecutive edges of a document whose sources
+the second hash at the source's coordinates agrees. A document that
+holds an edge several times sends the first place alone, and a flag; what its spans cover is looked
+up again in its text when they are removed. Consecutive edges of a document whose sources
 advance in step are a nonbranching path; it compacts into one span (start, length, source document,
 source start), in the task where that is known there, and spans are joined back to the documents. Whole texts that equal an earlier one are
 a span already and make no edges.
@@ -110,18 +112,23 @@ def _scan_edges(window: int, short: int, names: list[str]):
     def sent(parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         edge, check, pos = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
         doc = np.repeat(np.array([p[0] for p in parts], np.int64), [len(p[1]) for p in parts])
-        order = np.lexsort((pos, doc, edge))
+        order = np.lexsort((pos, doc, check, edge))
         edge, check, doc, pos = edge[order], check[order], doc[order], pos[order].astype(np.int32)
-        heads = _runs(edge)
+        again = np.r_[False, (edge[1:] == edge[:-1]) & (check[1:] == check[:-1]) & (doc[1:] == doc[:-1])]
+        flagged = np.unique(doc[again])
+        edge, check, doc, pos = edge[~again], check[~again], doc[~again], pos[~again]
+        heads = np.flatnonzero(np.r_[True, (edge[1:] != edge[:-1]) | (check[1:] != check[:-1])]) if len(edge) else np.empty(0, np.int64)
         first = np.repeat(heads, np.diff(np.r_[heads, len(edge)]))
-        later = (doc > doc[first]) & (check == check[first])
+        later = doc > doc[first]
         # paths of edges whose source is here, as one row each
         d, p, sd, sp = doc[later], pos[later], doc[first][later], pos[first][later]
         order = np.lexsort((p, p - sp, sd, d))
         d, p, sd, sp = d[order], p[order], sd[order], sp[order]
         starts = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (sd[1:] != sd[:-1]) | (p[1:] - p[:-1] != 1) | (sp[1:] - sp[:-1] != 1)]) if len(d) else np.empty(0, np.int64)
         long = np.diff(np.r_[starts, len(d)]).astype(np.int32)
-        d, p, sd, sp = d[starts], p[starts], sd[starts], sp[starts]
+        flags = np.full(len(flagged), -1, np.int32)
+        d, p, sd, sp = np.r_[d[starts], flagged], np.r_[p[starts], flags], np.r_[sd[starts], flagged], np.r_[sp[starts], flags]
+        long = np.r_[long, flags + 1]
         ask = ~later
         key = np.r_[edge[ask], mix(d.view(np.uint64) + _GOLD)]
         docs = np.r_[doc[ask], d]
@@ -168,8 +175,14 @@ def repeated_spans(docs: DataFrame, window: int = 13, seed_words: int = SEED_WOR
     """``(doc_id, start, n, src_doc, src_start)`` of ``docs(doc_id, text, ...)``.
 
     Words start..start+n of a document are windows of ``window`` words that all start in the smaller
-    document src_doc, from src_start on. ``n`` is null for a text that equals src_doc's whole text.
+    document src_doc, from src_start on. ``n`` is null for a text that equals src_doc's whole text. A
+    window that a document holds several times is listed at its first place. No rows: no rows.
     """
+    return _spans(docs, window, seed_words).where("start >= 0")
+
+
+def _spans(docs: DataFrame, window: int = 13, seed_words: int = SEED_WORDS) -> DataFrame:
+    """``repeated_spans``, and a row with start -1 for a document that holds windows several times."""
     if window <= seed_words:
         raise ValueError("a window must be longer than a seed")
     named = docs.where("doc_id is not null")
@@ -208,7 +221,18 @@ def _removal(schema: T.StructType, names: list[str], window: int):
     """Rows of ``names`` and spans to rows without the words of spans."""
     at = names.index("text")
 
+    def elsewhere(words: list[bytes], keep: np.ndarray, spans: list[dict], hashes: WordHashes) -> None:
+        """Take out the other places of the windows that spans hold."""
+        told = rolling(hashes.of(words), window)
+        held = np.zeros(len(told), bool)
+        for s in spans:
+            if s["start"] >= 0:
+                held[s["start"] : s["start"] + s["n"] - window + 1] = True
+        for i in np.flatnonzero(np.isin(told, np.unique(told[held]))).tolist():
+            keep[i : i + window] = False
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for b in batches:
             texts, counts, removed, digests = [], [], [], []
             for t, spans in zip(b.column(at), b.column(len(names))):
@@ -216,11 +240,15 @@ def _removal(schema: T.StructType, names: list[str], window: int):
                 data = (raw or "").encode()
                 words = data.split()
                 keep = np.ones(len(words), bool)
-                for s in spans.as_py() or ():
-                    if s["n"] is not None:
-                        keep[s["start"] : s["start"] + s["n"]] = False
-                    elif len(words) >= window:
-                        keep[:] = False
+                own = spans.as_py() or []
+                if any(s["n"] is None for s in own):
+                    keep[:] = keep[:] & (len(words) < window)
+                elif any(s["start"] >= 0 for s in own):
+                    for s in own:
+                        if s["start"] >= 0:
+                            keep[s["start"] : s["start"] + s["n"]] = False
+                    if any(s["start"] < 0 for s in own):
+                        elsewhere(words, keep, own, hashes)
                 gone = len(words) - int(keep.sum())
                 if gone:
                     tokens = _TOKEN.findall(data)
@@ -248,7 +276,7 @@ def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     columns are replaced. No rows: no rows.
     """
     docs = docs.drop("n_words", "n_removed", "kept_sha256")
-    spans = repeated_spans(docs, window).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("start", "n")).alias("_spans"))
+    spans = _spans(docs, window).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("start", "n")).alias("_spans"))
     new = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     schema = T.StructType([*docs.schema.fields, *new])
     held = docs.join(spans, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
