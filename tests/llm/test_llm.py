@@ -299,6 +299,24 @@ def test_verdict_does_not_hang_on_the_order(spark):
     assert quality.judged(docs.limit(0)).count() == 0
 
 
+def test_lazy_statistics_equal_the_columns(spark):
+    texts = [None, "", " \n ", "a a a a", "a b c a b c d", "x\nx\n\nx y\n", "# * | <>", "é\x1fé \x85 é", "w " * 5_000, "a b c x a b c y a b"]
+    docs = docs_of(spark, texts).orderBy("doc_id")
+    held = quality._repeats(quality._words(docs))
+    rows = held.select("doc_id", *[quality._own(c).alias(c) for c in quality.COUNTS]).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in rows] == [slow_stats(t) for t in texts]
+    clash = docs.withColumnsRenamed({"lang": "n_words", "source": "n_lines"})
+    assert quality.keep_good(clash).columns == clash.columns and "n_lines" in quality.judged(clash).columns
+
+
+def test_base_rules_are_in_the_cascade_and_repeats_come_late(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    order = quality.rule_order(docs)
+    assert {r.name for r, _, _ in order} == {r.name for r in quality.BASE + quality.RULES}
+    found = quality.judged(docs).groupBy().agg(F.count_if(F.col("base_failed") & F.col("kept")).alias("both"), F.count_if("base_failed").alias("failed")).first()
+    assert found.both == 0 and found.failed > 0
+
+
 # 7 top-k
 
 
@@ -359,6 +377,15 @@ def test_removal_equals_brute_force(spark, partitions):
     assert substrings.without_repeats(docs.limit(0)).count() == 0
 
 
+def test_windows_that_a_document_repeats_are_few_rows(spark):
+    text = "la " * 3_000 + " ".join(f"w{i % 40}" for i in range(4_000))
+    rows = [(1, "la " * 20), (2, text), (3, text + " end"), (4, "other " + " ".join(f"w{i % 40}" for i in range(100)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.without_repeats(docs).collect()} == slow_removal(rows, 13)
+    spans = substrings.repeated_spans(docs).collect()
+    assert len(spans) < 20 and all(r.start >= 0 for r in spans)
+
+
 def test_rows_without_an_id_stay(spark):
     text = " ".join(map(str, range(30)))
     got = substrings.without_repeats(docs_of(spark, [(None, text), (1, text), (1, text), (2, text)])).collect()
@@ -428,3 +455,126 @@ def test_shards_are_whole_even_and_repeatable(spark, tmp_path):
     few = sharding.shuffled_shards(docs.limit(3), str(tmp_path / "few"), 8)
     assert sorted((r.shard, r.slot) for r in few.collect()) == [(0, 0), (1, 0), (2, 0)]
     assert sharding.shuffled_shards(docs.limit(0), str(tmp_path / "none"), 8).count() == 0
+
+
+def test_pairs_of_samples_follow_the_odds_of_drawing_without_replacement():
+    lat = pieces.Lattice(pieces.vocabulary())
+    lat.known["▁sun"]
+    lat.add()
+    odds = {p: math.exp(s) for p, s in paths_of(lat, 0)}
+    n = 20_000
+    pairs = Counter(tuple(tuple(x[0].tolist()) for x in s) for s in pieces.sample_batch(["sun"] * n, list(range(n)), 2, lat))
+    for (a, b), seen in pairs.items():
+        q = odds[a] * odds[b] / (1 - odds[a])
+        assert abs(seen / n - q) < 5 * math.sqrt(q * (1 - q) / n) + 5e-4
+    assert sum(odds[a] * odds[b] / (1 - odds[a]) for a, b in pairs) > 0.99
+
+
+def test_inclusion_scores_weigh_samples_to_totals():
+    lat = pieces.Lattice(pieces.vocabulary())
+    n = 4_000
+    lengths = [sum(math.exp(lp) / inside * len(p) for p, lp, _, inside in s) for s in pieces.sample_batch(["sun"] * n, list(range(n)), 3, lat)]
+    lat.known["▁sun"]
+    node = int(lat.start[lat.known["▁sun"]])
+    want = sum(math.exp(s) * len(p) for p, s in paths_of(lat, node))
+    assert abs(np.mean(lengths) - want) < 5 * np.std(lengths) / math.sqrt(n)
+
+
+def test_lattices_of_long_chunks_equal_those_laid_out_at_once(monkeypatch):
+    v, chunk = pieces.vocabulary(), "▁" + "unbelievableness" * 3
+    held = []
+    for block in (10_000, 7):
+        monkeypatch.setattr(pieces, "BLOCK", block)
+        lat = pieces.Lattice(v)
+        lat.known[chunk]
+        lat.add()
+        held.append([sorted((int(lat.target[e]), int(lat.out[e]), round(float(lat.log_p[e]), 9)) for e in range(lat.first[i], lat.first[i] + lat.n_edges[i])) for i in range(len(chunk))])
+    assert held[0] == held[1]
+    text = "日本" * 40 + "unbelievable" + "龘" * 9
+    codes = np.array([ord(c) for c in text], np.uint32)
+    cuts = {0, *lat.cuts(codes, np.array([0]), np.array([len(text)])).tolist(), len(text)}
+    pieces_ = {v.bytes_of[i].decode() for i in range(len(v.bytes_of)) if len(v.bytes_of[i]) > 1 and i not in v.byte_id}
+    assert cuts == {i for i in range(len(text) + 1) if not any(text[a:b] in pieces_ for a in range(max(0, i - 16), i) for b in range(i + 1, min(len(text), a + 16) + 1))}
+
+
+def test_unbroken_texts_null_ids_and_clashing_columns(spark):
+    texts = [(None, "the sun"), (None, "the sun"), (3, "".join(chr(33 + i * i % 90) for i in range(100_000))), (4, "ab" * 20_000), (5, "the sun"), (5, "the sun")]
+    docs = spark.createDataFrame([(i, t, "a", "b", 0) for i, t in texts], SCHEMA).withColumnsRenamed({"lang": "pieces", "source": "sample"})
+    rows = pieces.sampled_segmentations(docs).collect()
+    assert len(rows) == 12 and all(r.round_trip for r in rows)
+    told = lambda i: Counter((r.sample, tuple(r.pieces)) for r in rows if r.doc_id == i)
+    assert set(told(None).values()) == {2} and set(told(5).values()) == {2} and len(told(3)) == len(told(4)) == 2
+
+
+def test_vectors_in_many_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    vectors = [(i, [float(x) for x in rng.normal(size=20)]) for i in range(300)]
+    df = spark.createDataFrame([(i, v, "x") for i, v in vectors], "vec_id long, embedding array<float>, query_id string")
+    q = {i: np.floor(np.float32(v).astype(float) * 256).astype(int) for i, v in vectors}
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 40)
+    monkeypatch.setattr(topk, "SCORED_AT_ONCE", 3)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 10 == 0, k=4).collect()}
+    want = {}
+    for i in range(0, 300, 10):
+        for n, (s, j) in enumerate(sorted(((-int(q[i] @ q[j]), j) for j in q if j != i))[:4], 1):
+            want[i, n] = (j, -s)
+    assert got == want
+
+
+def test_names_of_boxes_and_things_inside_paragraphs():
+    page = lambda x: extraction.main_text(x, {})
+    assert page('<article class="legal-news"><h1>T</h1><p>Body one.</p></article>') == "T\nBody one."
+    assert page('<article><div class="article-header"><h1>Ti</h1></div><div class="print-content"><p>Bo</p></div></article>') == "Ti\nBo"
+    assert page('<main><div class="share-price"><p>a</p></div><div id="popular-science"><p>b</p></div></main>') == "a\nb"
+    assert page("<article><p>tail <svg><text>x</text></svg>more <button>Click <b>me</b></button>end</p></article>") == "tail more end"
+    assert page('<article><p>a<script>var x="<p>";</script>c<select><option>1<option>2</select></p><div class="comment-list"><p>no</p></div></article>') == "ac"
+    long = " ".join(f"w{i}" for i in range(200_000))
+    assert page(f"<nav>menu</nav><article><p>{long}</p></article><footer>f</footer>") == long
+
+
+def test_hosts_are_read_one_way(spark):
+    urls = ["http://A.example/x", "//b.example:80/x", " https://u@c.example?x", "http://[::1]:8080/x", None, "no address", "mailto:x@y"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string").select(extraction.host_of(F.col("url")).alias("h"))
+    assert [r.h for r in df.collect()] == ["a.example", "b.example", "c.example", "[::1]", "", "", ""]
+    pages = spark.createDataFrame([(1, "//b.example/x", "<p>hello there</p>", "mine", "too"), (2, None, None, None, None)], "page_id long, url string, html string, host string, _of string")
+    got = extraction.extracted(pages)
+    assert got.columns == [*pages.columns, "text"] and {(r.page_id, r.host, r.text) for r in got.collect()} == {(1, "mine", "hello there"), (2, None, "")}
+
+
+def test_classes_decide_on_generated_templates(spark):
+    rng = random.Random(4)
+    say = lambda n: " ".join(rng.choice(["river", "stone", "light", "walk", "north", "glass", "paper", "seven"]) + str(rng.randrange(900)) for _ in range(n))
+    rows, want = [], {}
+    for i in range(40):
+        blocks = [say(20) for _ in range(rng.randrange(1, 5))]
+        body = "".join(f"<p>{x}</p>" for x in blocks)
+        html = f'<body><div class="a1x"><span>Our paper since 1900</span></div><div class="zq"><div class="kk">{body}</div></div><div class="mm"><a href="/1">One thing</a> <a href="/2">Other thing</a></div><div class="oo">All rights here</div></body>'
+        rows.append((i, f"http://t.example/{i}", html))
+        want[i] = "\n".join(blocks)
+    got = {r.page_id: r.text for r in extraction.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == want
+
+
+def test_context_windows_weigh_words_near_hits(spark):
+    toxic = [f"you are a blarg and nobody wants you here number {i}" for i in range(40)]
+    clean = [f"the report said that blarg is a term nobody should use number {i}" for i in range(20)] + [f"plain words about rivers and stones {i}" for i in range(200)]
+    fit = spark.createDataFrame([(t, 1) for t in toxic] + [(t, 0) for t in clean], "text string, label int")
+    near = toxicity.learn_context(fit, [("blarg", 3.0, True)])
+    assert near["you"] > 1 > -1 > near["said"] and "rivers" not in near
+    matches = toxicity._Matches(toxicity.LexiconAutomaton(["blarg"], [True]))
+    a, b = (toxicity.features(t, matches, [3.0], near)[-1] for t in ("you are a blarg", "it said that blarg is a term"))
+    assert a > 0 > b
+    words = "you are a bl4rg x blar blargg blrag".split()
+    hits = [w for w in words if toxicity._Matches(toxicity.LexiconAutomaton(["blarg"], [True]))[w]]
+    assert hits == ["bl4rg", "blar", "blargg"]
+
+
+def test_rows_that_repeat_without_end_are_dealt_over_buckets(spark, tmp_path):
+    docs = spark.createDataFrame([(7, "same text", 1)] * 400 + [(i, "other" * 50, i) for i in range(40)] + [(None, None, None)] * 3 + [(50, "long " * 3_000, 0)], "doc_id long, text string, slot int").repartition(3)
+    runs = [sharding.shuffled_shards(docs.repartition(n), str(tmp_path / f"s{n}"), bucket_bytes=2_000) for n in (2, 5)]
+    a, b = ({(r.shard, r.slot): (r.doc_id, r.text) for r in x.collect()} for x in runs)
+    assert a == b and len(a) == 444
+    counts = Counter(shard for (shard, _), (d, _) in a.items() if d == 7)
+    assert len(counts) == 8 and max(counts.values()) < 60
+    assert sharding._told_apart(docs.drop("slot"), 10).select("_key").distinct().count() == 444
