@@ -62,9 +62,13 @@ def plausible(x: Column) -> Column:
     return F.length(x).between(25, 160) & x.rlike("[.!?]$") & words.between(5, 18) & ~x.rlike(r"[|<>\[\]{}\t]")
 
 
+# Words whose double s is theirs in any spelling.
+OWN_DOUBLE_S = ("diesseits", "jenseits")
+
+
 def shape_reason(x: Column) -> Column:
     """The first rule of shape that a sentence breaks, else null."""
-    swiss = F.exists(F.regexp_extract_all(F.lower(x), F.lit(r"\p{L}*(?:ei|eu|äu|ie)ss\p{L}*"), F.lit(0)), lambda w: F.length(w) > 4)
+    swiss = F.exists(F.regexp_extract_all(F.lower(x), F.lit(r"\p{L}*(?:ei|eu|äu|ie)ss\p{L}*"), F.lit(0)), lambda w: ~w.isin(*OWN_DOUBLE_S))
     return (
         F.when(~x.rlike(r"^[\"“„»«']?\p{Lu}"), "not_capitalized")
         .when(~x.rlike(r"[.!?][\"“”«»']?$"), "no_terminal_punctuation")

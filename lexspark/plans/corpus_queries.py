@@ -199,7 +199,7 @@ QUALIFY row_number() OVER (PARTITION BY text ORDER BY CAST(substr(source, 4) AS
     "sentences_sampled": f"WITH {LINES} SELECT line_id, text FROM lines ORDER BY sha256('1:' || text), line_id LIMIT 200",
     "sentence_shapes": rf"""WITH {LINES}
 SELECT source, CASE WHEN NOT regexp_matches(text, '^["“„»«'']?\p{{Lu}}') THEN 'not_capitalized' WHEN NOT regexp_matches(text, '[.!?]["“”«»'']?$') THEN 'no_terminal_punctuation'
-  WHEN len(list_filter(regexp_extract_all(lower(text), '\p{{L}}*(?:ei|eu|äu|ie)ss\p{{L}}*'), lambda w: length(w) > 4)) > 0 THEN 'swiss_spelling'
+  WHEN len(list_filter(regexp_extract_all(lower(text), '\p{{L}}*(?:ei|eu|äu|ie)ss\p{{L}}*'), lambda w: w NOT IN ('diesseits', 'jenseits'))) > 0 THEN 'swiss_spelling'
   WHEN regexp_matches(text, '^[^"“”„]*\p{{L}}["”](?:[\s.,!?]|$)') THEN 'opens_mid_quotation' ELSE 'fine' END AS reason, count(*) AS n FROM sent GROUP BY ALL""",
     "sentences_gated": rf"""WITH {LINES}, gate AS (SELECT DISTINCT unnest(list_transform(regexp_extract_all(text, '[^.!?\n]+[.!?]*'), lambda x: trim(x))) AS text FROM benchmark)
 SELECT source, count(*) AS n, count(DISTINCT text) AS texts FROM sent WHERE text IN (SELECT text FROM gate) GROUP BY source""",
