@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import text as X
 
-REPEATED_FORM, UNGLOSSED, SOURCE_UNKNOWN = 25.0, 30.0, 30.0
+# What a sentence's score takes for each flaw (survey C3).
+CAPITAL_WORD, DIGIT_WORD, NEEDS_CONTEXT, REPEATED_FORM, UNGLOSSED, SOURCE_UNKNOWN = 15.0, 10.0, 20.0, 25.0, 30.0, 30.0
 
 
 def sentence_score(text: Column, needs_context: Column, glossed: Column, penalty: Column) -> Column:
@@ -15,8 +16,8 @@ def sentence_score(text: Column, needs_context: Column, glossed: Column, penalty
     words = F.split(F.trim(text), r"\s+")
     capitals = F.size(F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda w: w.rlike(r"^\p{Lu}\p{L}{3,}$")))
     digits = F.size(F.filter(words, lambda w: w.rlike(r"\p{Nd}")))
-    score = F.length(text) + 15.0 * capitals + 10.0 * digits
-    return score + F.when(needs_context, 20.0).otherwise(0.0) + F.when(glossed, 0.0).otherwise(UNGLOSSED) + F.coalesce(penalty, F.lit(SOURCE_UNKNOWN))
+    score = F.length(text) + CAPITAL_WORD * capitals + DIGIT_WORD * digits
+    return score + F.when(needs_context, NEEDS_CONTEXT).otherwise(0.0) + F.when(glossed, 0.0).otherwise(UNGLOSSED) + F.coalesce(penalty, F.lit(SOURCE_UNKNOWN))
 
 
 def hosting_once(occurrences: DataFrame) -> DataFrame:

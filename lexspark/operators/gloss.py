@@ -10,11 +10,16 @@ from lexspark.functions import text as X
 MOST_CHARS, MOST_GLOSSES, CONTEXT_WORDS = 60, 3, (4, 14)
 
 
+# Words in front of a verb's equivalent that stand for a negated one, and for "to have to".
+NEGATED_LEADS = ("not to",)
+FORCED_LEADS = ("must", "has to", "have to", "had to", "needs to", "need to")
+
+
 def verb_gloss(gloss: Column) -> Column:
     """An equivalent of a verb with its ``to``; ``must`` has no infinitive and becomes ``to have to``."""
     text = F.trim(gloss)
-    negated = F.regexp_extract(text, r"(?i)^not to\s+(.+)$", 1)
-    forced = F.regexp_extract(text, r"(?i)^(?:must|has to|have to|had to|needs to|need to)\s+(.+)$", 1)
+    after = lambda leads: F.regexp_extract(text, rf"(?i)^(?:{'|'.join(leads)})\s+(.+)$", 1)
+    negated, forced = after(NEGATED_LEADS), after(FORCED_LEADS)
     return (
         F.when(F.lower(text).startswith("to "), text).when(negated != "", F.concat(F.lit("to not "), negated))
         .when(forced != "", F.concat(F.lit("to have to "), forced)).otherwise(F.concat(F.lit("to "), text))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexspark.functions import statistics as S
 
 
+# Limits that decisions on units must share to come out alike (survey M1 to M12).
 @dataclass(frozen=True)
 class Thresholds:
     """Limits of the rules; the defaults are those of a corpus of some million sentences."""

@@ -39,8 +39,13 @@ def capped_parts(spark: SparkSession, d: str) -> DataFrame:
     return R.capped(held, "adjective", 40, order, taken("adjective"), F.col("mined")).select("p_partkey", "adjective", "noun")
 
 
+# How far a word's level pulls its count, from the easiest level on (survey W5).
+LEVEL_PULL = (1.6, 1.25, 1.0, 0.75)
+
+
 def _ranked_parts(spark: SparkSession, d: str) -> DataFrame:
-    weight = F.when(F.col("p_size") <= 10, 1.6).when(F.col("p_size") <= 20, 1.25).when(F.col("p_size") <= 35, 1.0).otherwise(0.75)
+    a, b, c, other = LEVEL_PULL
+    weight = F.when(F.col("p_size") <= 10, a).when(F.col("p_size") <= 20, b).when(F.col("p_size") <= 35, c).otherwise(other)
     p = read(spark, d, "part").withColumn("score", F.round(F.col("p_retailprice") * weight, 4))
     return R.ranked(p, [(-F.col("score")), F.col("p_name"), F.col("p_partkey")])
 
