@@ -19,26 +19,29 @@ def vocabulary(lines: DataFrame, size: int = 20_000) -> DataFrame:
 
 
 def _grams(words: Column) -> Column:
-    """All runs of 2 to 4 words, space-joined."""
-    of = lambda n: F.transform(
-        F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: i <= F.size(words) - n + 1),
-        lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "),
-    )
-    return F.concat(*[of(n) for n in SIZES])
+    """All runs of 2 to 4 words without a null among them, space-joined."""
+
+    def of(n: int) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0)))
+        joined = lambda i: F.concat(F.get(words, i), *[x for k in range(1, n) for x in (F.lit(" "), F.get(words, i + k))])
+        return F.transform(starts, joined)
+
+    return F.filter(F.concat(*[F.when(F.size(words) >= n, of(n)).otherwise(F.array().cast("array<string>")) for n in SIZES]), lambda g: g.isNotNull())
 
 
 def ngram_counts(lines: DataFrame, words: DataFrame, everyday: list[str], floor: int = 30) -> DataFrame:
     """``(ngram, n, everyday)`` of at least ``floor`` occurrences, all of whose words are in ``words``.
 
-    A run ends at anything but one space. Counting comes first and the words are looked up for the
-    survivors of the floor only: an n-gram inside a run of known words is one all of whose words are.
+    A run ends at anything but one space. ``words`` is a vocabulary of bounded size (see ``vocabulary``):
+    runs are cut at words outside it before anything is shuffled, so only n-grams of known words are counted.
     """
+    known = ",".join("'" + r.word.replace("\\", "\\\\").replace("'", "\\'") + "'" for r in words.select("word").distinct().collect())
     runs = lines.select("source", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(X.RUN), F.lit(0))).alias("run"))
-    grams = runs.select("source", F.explode(_grams(F.split(X.normalise(F.col("run")), " "))).alias("ngram"))
-    counted = grams.groupBy("ngram").agg(F.count("*").alias("n"), F.count_if(F.col("source").isin(everyday)).alias("everyday")).where(F.col("n") >= floor)
-    parts = counted.select("ngram", "n", "everyday", F.explode(F.split("ngram", " ")).alias("word"))
-    known = parts.join(words.select("word", F.lit(1).alias("held")), "word", "left")
-    return known.groupBy("ngram").agg(F.first("n").alias("n"), F.first("everyday").alias("everyday"), F.count("held").alias("known"), F.count("*").alias("words")).where("known = words").drop("known", "words")
+    split = runs.select("source", F.split(X.normalise(F.col("run")), " ").alias("words")).where(F.size("words") >= min(SIZES))
+    cut = F.expr(f"transform(words, w -> if(w in ({known or 'null'}), w, null))")  # one text: a literal each would take a call each
+    marked = split.select("source", cut.alias("words"))
+    grams = marked.select("source", F.explode(_grams(F.col("words"))).alias("ngram"))
+    return grams.groupBy("ngram").agg(F.count("*").alias("n"), F.count_if(F.col("source").isin(everyday)).alias("everyday")).where(F.col("n") >= floor)
 
 
 def min_split_pmi(ngrams: DataFrame, words: DataFrame, sentences: int | Column) -> DataFrame:

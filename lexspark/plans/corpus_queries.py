@@ -45,7 +45,7 @@ def sentences_gated(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ngrams(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    held = lines(spark, d)
+    held = stored(lines(spark, d).select("source", "text"))
     words = stored(ngrams.vocabulary(held, WORDS))
     grams = ngrams.ngram_counts(held, words, EVERYDAY, FLOOR)
     return held, words, grams
