@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.plans import corpus_queries, curation_queries, decision_queries, gloss_queries, grading_queries, log_queries, pattern_queries, session_queries, unit_queries
+from lexspark.plans import corpus_queries, curation_queries, decision_queries, gloss_queries, grading_queries, level_queries, log_queries, pattern_queries, session_queries, unit_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {**corpus_queries.QUERIES, **log_queries.QUERIES, **unit_queries.QUERIES, **grading_queries.QUERIES, **gloss_queries.QUERIES, **decision_queries.QUERIES, **pattern_queries.QUERIES, **session_queries.QUERIES, **curation_queries.QUERIES}
-ORACLES: dict[str, str] = {**corpus_queries.ORACLES, **log_queries.ORACLES, **unit_queries.ORACLES, **grading_queries.ORACLES, **gloss_queries.ORACLES, **decision_queries.ORACLES, **pattern_queries.ORACLES, **session_queries.ORACLES, **curation_queries.ORACLES}
+QUERIES: dict[str, Query] = {**corpus_queries.QUERIES, **log_queries.QUERIES, **unit_queries.QUERIES, **grading_queries.QUERIES, **gloss_queries.QUERIES, **decision_queries.QUERIES, **pattern_queries.QUERIES, **session_queries.QUERIES, **curation_queries.QUERIES, **level_queries.QUERIES}
+ORACLES: dict[str, str] = {**corpus_queries.ORACLES, **log_queries.ORACLES, **unit_queries.ORACLES, **grading_queries.ORACLES, **gloss_queries.ORACLES, **decision_queries.ORACLES, **pattern_queries.ORACLES, **session_queries.ORACLES, **curation_queries.ORACLES, **level_queries.ORACLES}
