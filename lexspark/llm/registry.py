@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexspark.llm import extraction, mixing, pieces, quality, sharding, simhash, substrings, tokens, topk, toxicity
+from lexspark.llm import codes, extraction, mixing, pieces, quality, sharding, simhash, substrings, tokens, topk, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_sharding": sharding.op10_sharding,
+    "op11_vector_codes": codes.op11_vector_codes,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op6_quality_rules": quality.SQL,
     "op7_exact_top_k": topk.SQL,
     "op8_substring_dedup": substrings.SQL,
+    "op11_vector_codes": codes.SQL,
 }
