@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexspark.llm import codes, extraction, mixing, pieces, quality, sharding, simhash, substrings, tokens, topk, toxicity
+from lexspark.llm import alignment, codes, extraction, mixing, pieces, quality, sharding, simhash, substrings, tokens, topk, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_sharding": sharding.op10_sharding,
     "op11_vector_codes": codes.op11_vector_codes,
+    "op12_alignment": alignment.op12_alignment,
 }
 
 ORACLES = {
