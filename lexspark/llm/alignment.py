@@ -114,7 +114,7 @@ def aligned_texts(texts: list[str | None], a_path: str, b_path: str) -> pa.Table
         joined.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pc.cast(tokens.ids, pa.string())), ","))
     starts = np.searchsorted(docs[last], np.arange(len(asked) + 1))
     groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pc.binary_join_element_wise(*joined, "|")), ";")
-    counted = pa.table({"doc": pa.array(docs), "a": linked["a"], "b": linked["b"]}).group_by(["doc", "a", "b"], use_threads=False).aggregate([([], "count_all")]).sort_by("doc")
+    counted = pa.table({"doc": pa.array(docs), "a": linked["a"], "b": linked["b"]}).group_by(["doc", "a", "b"], use_threads=False).aggregate([([], "count_all")]).sort_by([(c, "ascending") for c in ("doc", "a", "b")])
     pairs = pa.StructArray.from_arrays([pc.cast(counted[c], pa.int32()).combine_chunks() for c in ("a", "b", "count_all")], ["a", "b", "n"])
     links = pa.ListArray.from_arrays(pa.array(np.searchsorted(np.asarray(counted["doc"]), np.arange(len(asked) + 1)), pa.int32()), pairs)
 
