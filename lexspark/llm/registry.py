@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexspark.llm import alignment, codes, extraction, mixing, pieces, quality, sharding, simhash, substrings, tokens, topk, toxicity
+from lexspark.llm import alignment, codes, extraction, mixing, pieces, quality, secrets, sharding, simhash, substrings, tokens, topk, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_sharding": sharding.op10_sharding,
     "op11_vector_codes": codes.op11_vector_codes,
     "op12_alignment": alignment.op12_alignment,
+    "op13_secrets": secrets.op13_secrets,
 }
 
 ORACLES = {
