@@ -44,6 +44,7 @@ NAME_SCORES = {
 }
 #: Last words of names that speak of a secret without being one.
 ABOUT_SECRETS = set("count max min num number len length size limit type name field url uri path file dir folder expiry expires timeout ttl regex pattern policy hint label prompt placeholder error message reset header endpoint param strength rule rules format prefix suffix column table class input form enabled required".split())
+AMOUNTS = {"max", "min", "num", "count", "total"}  # as first words
 SETTERS = {"set", "with", "use", "add", "put"}
 KEYED, VALUED = {"key", "name", "id", "property", "param", "variable"}, {"value", "content", "default", "val"}
 SCHEMES = {"bearer", "basic", "token"}
@@ -73,7 +74,7 @@ def _score_of_name(name: str) -> float:
     if not words:
         return 0.0
     score = max(NAME_SCORES.get(w, 0.0) for w in [*words, *map(" ".join, zip(words, words[1:]))])
-    return score * (0.3 if words[-1] in ABOUT_SECRETS else 1.0)
+    return score * (0.3 if words[-1] in ABOUT_SECRETS or words[0] in AMOUNTS else 1.0)
 
 
 class _Names(dict):
