@@ -216,7 +216,29 @@ def test_classes_decide_inside_articles(spark):
     rows += [(4 + i, f"http://b.example/{i}", f"<body><article>{swapped[i % 2].replace('{n}', str(i))}</article></body>") for i in range(2)]
     rows += [(6, "http://c.example/", page.replace("{n}", "6"))]
     got = {r.page_id: r.text for r in extraction.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {i: f"Story {i} has words" for i in range(4)} | {4: "Box", 5: "Box", 6: "Constant box\nConstant line"}
+    # a constant paragraph of an article is its text, a constant box in it is the template's
+    assert got == {i: f"Story {i} has words\nConstant line" for i in range(4)} | {4: "Box", 5: "Box", 6: "Constant box\nConstant line"}
+
+
+PARTS = """<div class="story"><h1>Title {n}</h1><p>Body of story {n}.</p><p class="step">Preheat the oven.</p><p>End {n}.</p></div>
+<div class="comments"><h3>Reader comments</h3><p>user{n} says thing {n}</p></div><div class="reader-comments-area"><article class="comment"><p>Nice {n}</p></article></div>
+<div class="sidebar"><p>Weather today {n} degrees</p></div><div class="ad"><p>Buy item {n}</p></div><div class="cookie-notice"><p>Notice {n} for you</p></div><div id="site-menu"><p>Menu {n}</p></div>"""
+
+
+@pytest.mark.parametrize("around", ["<body>{}</body>", "<body><article>{}</article></body>", "<body><main><div class=zz>{}</div></main></body>"])
+@pytest.mark.parametrize("n_pages", [1, 2, 6])
+def test_comments_sidebars_and_adverts_go_whatever_a_host_has(spark, around, n_pages):
+    rows = [(i, f"http://a.example/{i}", around.replace("{}", PARTS.replace("{n}", str(i))), 1, "x") for i in range(n_pages)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, _template int, _of string")
+    got = extraction.extracted(pages)
+    assert got.columns == [*pages.columns, "text"]
+    assert {r.page_id: r.text for r in got.collect()} == {i: f"Title {i}\nBody of story {i}.\nPreheat the oven.\nEnd {i}." for i in range(n_pages)}
+
+
+def test_names_count_as_a_whole():
+    told = lambda name, tag="div", inside=False: extraction._is_named(tag, [name], inside)
+    assert [told(x) for x in ("comments", "reader-comments", "ad-slot", "left_sidebar", "popular", "popular-posts", "legal-news", "share-price", "story", "article-header", "body")] == [2, 2, 2, 2, 1, 1, 0, 0, 0, 0, 0]
+    assert told("comment", "article", True) == 2 and told("search", "body") == 0 and told("header", "div", True) == 0
 
 
 def test_one_page_decides_for_itself_and_copies_say_nothing(spark):
