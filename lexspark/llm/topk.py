@@ -10,26 +10,32 @@ of a query are compacted for its next block. The best of each pair of blocks mee
 
 from __future__ import annotations
 
+import operator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexspark.llm.codes import usable, whole
 from lexspark.llm.common import checkpoint, table
 
 #: Queries and candidates that meet in a task, queries that are scored at once there, dimensions in a block.
 QUERY_BLOCK, CANDIDATE_BLOCK, SCORED_AT_ONCE, DIMENSIONS = 8_192, 8_192, 256, 16
+#: Components are multiplied by this before they are rounded down.
+SCALE = 256
 
 
-def quantised(vector: Column, scale: float = 256.0) -> Column:
-    """floor(scale * x) of every component, as long; null if the vector or a component is null or not finite."""
-    usable = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return F.when(usable, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
+def _place(n: int) -> str:
+    """A text that sorts as the whole number does, of any size."""
+    digits = str(abs(n))
+    key = f"{len(digits):06d}{digits}"
+    return "1" + key if n >= 0 else "0" + key.translate(str.maketrans("0123456789", "9876543210"))
 
 
 def _tails(m: np.ndarray, step: int) -> np.ndarray:
     """Lengths of the rows of ``m`` from dimension 0, step, 2 * step, ... on; a last column of 0."""
-    squares = np.square(m.astype(np.float64))
+    squares = np.square(m.astype(np.float64))  # below 2 ** 126
     starts = np.arange(0, m.shape[1], step)
     parts = np.add.reduceat(squares, starts, axis=1)
     return np.sqrt(np.concatenate([np.cumsum(parts[:, ::-1], axis=1)[:, ::-1], np.zeros((len(m), 1))], axis=1))
@@ -40,9 +46,15 @@ def best_of_block(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.nda
 
     The first block of dimensions is one product for all queries; then each query keeps its own
     survivors: those whose score so far plus remaining mass reaches the k-th best of score so far
-    less remaining mass. Integers in float64 are exact below 2 ** 53; larger ones stay integers.
+    less remaining mass. Integers in float64 are exact below 2 ** 53; larger ones stay integers, and where
+    a product may leave 63 bits, scores are summed in Python's whole numbers, without bounds.
     """
     dims = q.shape[1]
+    if int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0)) * dims >= 2**62:
+        exact = [[sum(map(operator.mul, x, y)) for y in c.tolist()] for x in q.tolist()]
+        ids = c_ids.tolist()
+        tops = [sorted((-s, at, n) for n, (s, at) in enumerate(zip(own, ids)) if at != one)[:k] for own, one in zip(exact, q_ids.tolist())]
+        return [(np.array([at for _, at, _ in top], np.int64), np.array([*[-s for s, _, _ in top], None], dtype=object)[:-1]) for top in tops]
     if float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * dims < 2**53:
         q, c = q.astype(np.float64), c.astype(np.float64)
     heavy = np.argsort(-np.square(c.astype(np.float64)).sum(0) * np.square(q.astype(np.float64)).sum(0), kind="stable")
@@ -74,40 +86,50 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
     Vectors that are null, empty or hold null or non-finite components take no part, as do rows without
     an id; vectors of different lengths never meet. Ties go to the smaller id; fewer rows than k: all of
     them. Rows of a repeated id are candidates of their own, none of them for a query of that id, and
-    a repeated query counts once, by its smallest vector. Other columns are not read. No rows: no rows.
+    a repeated query counts once, by its smallest vector. Finite components may have any size: vectors are then
+    sent as they are and scored in whole numbers of Python; a score that a long cannot hold is null, in its right rank.
+    Other columns are not read. No rows: no rows.
     """
-    kept = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col)).alias("v"), queries.alias("is_query"))
-    kept = checkpoint(kept.where("id is not null and v is not null").withColumn("n", F.size("v")).where("n > 0"))
-    largest = kept.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 0
-    if largest < 1 << 31:  # half the bytes on the way
-        kept = kept.withColumn("v", F.col("v").cast("array<int>"))
+    kept = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"), queries.alias("is_query"))
+    kept = kept.where(F.col("id").isNotNull() & usable(F.col("v"))).withColumn("n", F.size("v")).where("n > 0")
+    size = kept.agg(F.max(F.array_max(F.transform("v", F.abs))).alias("largest"), F.max("n").alias("dims")).first()
+    largest = (size.largest or 0.0) * SCALE
+    plain = largest < 2**52 and largest * largest * (size.dims or 0) < 2**62
+    if plain:  # as integers; half the bytes on the way where they are small
+        kept = kept.withColumn("v", F.transform("v", lambda x: F.floor(x * SCALE).cast("int" if largest < 2**31 else "long")))
+    kept = checkpoint(kept)
     asked = kept.where("is_query").groupBy("id", "n").agg(F.min("v").alias("v"))
     n_rows, n_asked = kept.count(), asked.count()
     parts, groups = -(-n_rows // CANDIDATE_BLOCK) or 1, -(-n_asked // QUERY_BLOCK) or 1
     one_of = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = asked.select("id", "v", "n", one_of(groups, 1).alias("g"), every(parts).alias("p"))
-    right = kept.select("id", "v", "n", every(groups).alias("g"), one_of(parts, 2).alias("p"))
+    right = kept.select(*[F.col(c).alias(c) for c in ("id", "v", "n")], every(groups).alias("g"), one_of(parts, 2).alias("p"))
 
     def run(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(a) and len(b):
             dims = key[2].as_py()
-            q, c = (np.asarray(t["v"].combine_chunks().flatten(), dtype=np.int64).reshape(-1, dims) for t in (a, b))
+            q, c = (np.asarray(t["v"].combine_chunks().flatten()).reshape(-1, dims) for t in (a, b))
+            q, c = (m.astype(np.int64) if plain else whole(m, SCALE) for m in (q, c))
             q_ids, c_ids = (np.asarray(t["id"], dtype=np.int64) for t in (a, b))
             for i in range(0, len(q), SCORED_AT_ONCE):
                 part = slice(i, i + SCORED_AT_ONCE)
                 out += [(np.full(len(ids), one), ids, s) for one, (ids, s) in zip(q_ids[part], best_of_block(q[part], q_ids[part], c, c_ids, k))]
         cols = [np.concatenate(x) if out else np.empty(0, np.int64) for x in (zip(*out) if out else ([], [], []))]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, cols))))
+        scores = [int(x) for x in cols[2]] if not plain else None
+        fits = pa.array(cols[2], pa.int64()) if plain else pa.array([x if -(1 << 63) <= x < 1 << 63 else None for x in scores], pa.int64())
+        place = pa.nulls(len(cols[0]), pa.string()) if plain else pa.array([_place(x) for x in scores], pa.string())
+        return pa.table({"query_id": pa.array(cols[0]), "vec_id": pa.array(cols[1]), "score": fits, "place": place})
 
     keys = ("g", "p", "n")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score long, place string")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score" if plain else "place"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: the five best rows for each row of ``embeddings`` whose vec_id is divisible by 50."""
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 

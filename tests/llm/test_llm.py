@@ -7,6 +7,7 @@ import os
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -351,6 +352,20 @@ def test_top_k_with_odd_vectors(spark):
     assert topk.top_k(v.limit(0), F.lit(True)).count() == 0
 
 
+def test_top_k_of_huge_finite_components(spark):
+    rows = [(0, [1e300, 1.0]), (50, [-3.4e38, 2.0**60 + 2**20]), (3, [1.7e308, -1e308]), (4, [0.25, 0.5]), (5, [2.0**30, 2.0**29]), (6, [-1e300, -1.0]), (7, [1e-300, -1e-300])]
+    exact = {i: [math.floor(Fraction(x) * 256) for x in v] for i, v in rows}
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, 4).collect()}
+    for q in (0, 50):
+        best = sorted((-sum(a * b for a, b in zip(exact[q], exact[i])), i) for i in exact if i != q)[:4]
+        assert [got[q, n + 1] for n in range(4)] == [(i, -s if -(1 << 63) <= -s < 1 << 63 else None) for s, i in best]
+    rows = [(i, [float((i * 37 + j * 11) % 101 - 50) * 2.0**16 for j in range(6)]) for i in range(30)]  # products of more than 53 bits
+    exact = {i: [int(x) * 256 for x in v] for i, v in rows}
+    got = {r["rank"]: (r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 7, 5).collect()}
+    best = sorted((-sum(a * b for a, b in zip(exact[7], exact[i])), i) for i in exact if i != 7)[:5]
+    assert [got[n + 1] for n in range(5)] == [(i, -s) for s, i in best]
+
+
 def test_block_search_equals_brute_force():
     rng = np.random.default_rng(7)
     c = rng.integers(-128, 128, (700, 48))
