@@ -263,8 +263,8 @@ def verb_facts(pairs: DataFrame, dictionary: DataFrame | None = None) -> DataFra
 
 def occurrences(candidates: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
     """Candidates of any detector with their verbs settled: occurrences. Those whose verb is no word are left out."""
-    candidates = stored(candidates, "candidates")
-    facts = stored(verb_facts(candidates.where("verbal"), dictionary), "verbs")
+    candidates = stored(candidates)
+    facts = stored(verb_facts(candidates.where("verbal"), dictionary))
     if facts.count() <= BROADCAST_VERBS:
         facts = F.broadcast(facts)
     c = candidates.join(facts, ["lemma", "particle"], "left")
@@ -312,9 +312,9 @@ def role_counts(trees: DataFrame, dictionary: DataFrame | None = None) -> DataFr
         F.when(x["pos"] == "VERB", F.coalesce(F.get("particle", x["i"])["low"], F.lit(""))).otherwise("").alias("particle"), told(F.get("particle", x["i"])["needs"]).alias("needs"),
     )
     counted = F.filter("t", lambda x: x["pos"].isin("VERB", "NOUN", "ADJ", "ADV", "ADP") | ((x["pos"] == "AUX") & (x["lem"] == "haben")))
-    row = trees.select(F.monotonically_increasing_id().alias("row"), F.inline(F.array_distinct(F.transform(counted, pairs))))
-    row = stored(row, "roles")
-    facts = stored(verb_facts(row.where("role = 'verb' and not plain"), dictionary), "verbs")
+    row = trees.select("t", "particle", F.monotonically_increasing_id().alias("row")).select("row", F.inline(F.array_distinct(F.transform(counted, pairs))))
+    row = stored(row)
+    facts = stored(verb_facts(row.where("role = 'verb' and not plain"), dictionary))
     if facts.count() <= BROADCAST_VERBS:
         facts = F.broadcast(facts)
     held = row.join(facts, ["lemma", "particle"], "left")
@@ -329,7 +329,7 @@ DETECTORS = {f.__name__: f for f in (verb_prep, reflexive_verb, separable_verb,
 
 def detected(parsed: DataFrame, dictionary: DataFrame | None = None, kinds: tuple[str, ...] = tuple(DETECTORS)) -> DataFrame:
     """Occurrences of all ``kinds`` in parsed sentences."""
-    trees = stored(with_trees(parsed), "trees")
+    trees = stored(with_trees(parsed))
     found = None
     for kind in kinds:
         one = DETECTORS[kind](trees)

@@ -90,11 +90,11 @@ def pending_units(states: DataFrame, reviews: DataFrame, now: Column, s: Setting
 
 
 def requested_units(deck: DataFrame, states: DataFrame, reviews: DataFrame, requests: DataFrame, now: Column, s: Settings = Settings()) -> DataFrame:
-    """``(learner, unit, asked_at)``: what a learner asked for and may be shown, in order, as many as the day still has room for."""
+    """``(learner, unit, asked_at)``: what a learner asked for and may be shown, in order, as many as the day still has room for. Requests without a time wait for nothing and come first."""
     firsts = reviews.groupBy("learner", "unit").agg(F.min("ts").alias("_first"))
     used = requests.join(firsts, ["learner", "unit"]).where(F.to_date("_first") == _day(now)).groupBy("learner").agg(F.count("*").alias("_used"))
     open_ = requests.join(deck.where("learnable").select("unit"), "unit", "left_semi").join(states, ["learner", "unit"], "left_anti")
-    waited = reviews_after(reviews, open_, "asked_at").where(F.col("since") >= s.requested_delay)
+    waited = reviews_after(reviews, open_, "asked_at").where(F.col("asked_at").isNull() | (F.col("since") >= s.requested_delay))
     place = F.row_number().over(Window.partitionBy("learner").orderBy("asked_at", "unit"))
     room = F.lit(s.requested_per_day) - F.coalesce("_used", F.lit(0))
     return waited.join(used, "learner", "left").withColumn("_place", place).where(F.col("_place") <= room).select("learner", "unit", "asked_at")
@@ -131,7 +131,7 @@ def next_units(deck: DataFrame, states: DataFrame, reviews: DataFrame, requests:
     Tiers: requested; pending and spaced; overdue; new within the budget; due soon; pending at any
     spacing. No unit that was among the last ``relearn_spacing`` of the sitting comes back (but
     for requested, new and looping ones), none is asked more than ``max_asks`` times in a sitting, and the
-    unit shown last only comes where its tier has no other one, in pending and ahead never.
+    unit shown last only comes where its tier has no other one if requested or overdue, never if pending or ahead; looping units go by their chance alone.
     """
     states = states.join(closed, ["learner", "unit"], "left_anti")
     sitting = reviews.join(sitting_starts(reviews, now, s), "learner").where("ts >= started")
@@ -164,5 +164,5 @@ def next_units(deck: DataFrame, states: DataFrame, reviews: DataFrame, requests:
     tired = (F.coalesce("asks", F.lit(0)) >= s.max_asks) & (F.col("tier") != 3) if s.max_asks > 0 else F.lit(False)
     near = (F.coalesce("back", F.lit(1 << 30)) <= s.relearn_spacing) & F.col("tier").isin(1, 2, 4)
     held = held.where(~tired & ~near & ~(shown_last & F.col("tier").isin(1, 4)))
-    best = held.groupBy("learner").agg(F.min(F.struct("tier", shown_last.alias("again"), "k1", "k2", "unit")).alias("b"))
+    best = held.groupBy("learner").agg(F.min(F.struct("tier", (shown_last & F.col("tier").isin(0, 2)).alias("again"), "k1", "k2", "unit")).alias("b"))
     return best.select("learner", F.element_at(F.array(*[F.lit(x) for x in TIERS]), F.col("b.tier") + 1).alias("tier"), "b.unit")

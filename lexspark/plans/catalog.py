@@ -6,9 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.plans import corpus_queries, curation_queries, decision_queries, gloss_queries, grading_queries, level_queries, log_queries, pattern_queries, session_queries, unit_queries
+from lexspark.plans import corpus_queries, curation_queries, decision_queries, gloss_queries, grading_queries, level_queries, log_queries, parse_queries, pattern_queries, session_queries, unit_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (corpus_queries, log_queries, unit_queries, grading_queries, gloss_queries, decision_queries, pattern_queries, session_queries, curation_queries, level_queries, parse_queries)
 
-QUERIES: dict[str, Query] = {**corpus_queries.QUERIES, **log_queries.QUERIES, **unit_queries.QUERIES, **grading_queries.QUERIES, **gloss_queries.QUERIES, **decision_queries.QUERIES, **pattern_queries.QUERIES, **session_queries.QUERIES, **curation_queries.QUERIES, **level_queries.QUERIES}
-ORACLES: dict[str, str] = {**corpus_queries.ORACLES, **log_queries.ORACLES, **unit_queries.ORACLES, **grading_queries.ORACLES, **gloss_queries.ORACLES, **decision_queries.ORACLES, **pattern_queries.ORACLES, **session_queries.ORACLES, **curation_queries.ORACLES, **level_queries.ORACLES}
+
+def _merged(tables: list[dict]) -> dict:
+    """One table of all; a name that two modules have is an error, since one of them would be lost."""
+    merged: dict = {}
+    for table in tables:
+        if twice := merged.keys() & table.keys():
+            raise ValueError(f"registered twice: {sorted(twice)}")
+        merged |= table
+    return merged
+
+
+QUERIES: dict[str, Query] = _merged([m.QUERIES for m in MODULES])
+ORACLES: dict[str, str] = _merged([m.ORACLES for m in MODULES])
+if lost := ORACLES.keys() - QUERIES.keys():
+    raise ValueError(f"SQL without a query: {sorted(lost)}")

@@ -93,7 +93,7 @@ def batch_findings(spark: SparkSession, d: str) -> DataFrame:
     return C.findings_of_batch(findings, batch, ["R", "A"]).select("l_orderkey", "l_linenumber", "category")
 
 
-def word_bands(spark: SparkSession, d: str) -> DataFrame:
+def fallback_bands(spark: SparkSession, d: str) -> DataFrame:
     """Bands of order keys as frequency ranks."""
     return read(spark, d, "orders").groupBy(C.fallback_band(F.col("o_orderkey") * 10).alias("band")).agg(F.count("*").alias("n"))
 
@@ -105,7 +105,7 @@ def quota_days(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     merged_overrides, overridden_parts, requested_parts, deck_with_added, dictionary_entries, wanted_lines, contradictory_lines, folded_names, governed_parts,
-    reserve_ranks, first_requests, showable_lines, unread_batches, batch_findings, word_bands, quota_days,
+    reserve_ranks, first_requests, showable_lines, unread_batches, batch_findings, fallback_bands, quota_days,
 )}
 
 _UNITS = "WITH units AS (SELECT p_partkey AS unit, p_name AS key, lower(string_split(p_type, ' ')[1]) AS kind, p_brand AS display, p_size AS rank FROM part)"
@@ -131,6 +131,6 @@ ORACLES = {
       SELECT card, unit FROM c QUALIFY fit OR NOT bool_or(fit) OVER (PARTITION BY unit)""",
     "unread_batches": "SELECT p_partkey AS card, CAST((row_number() OVER (ORDER BY p_size, p_partkey) - 1) // 30 + 1 AS BIGINT) AS batch FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)",
     "batch_findings": "SELECT l_orderkey, l_linenumber, l_returnflag AS category FROM lineitem WHERE l_returnflag IN ('R', 'A') AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20)",
-    "word_bands": "SELECT CASE WHEN o_orderkey <= 500 THEN 'A1' WHEN o_orderkey <= 1000 THEN 'A2' WHEN o_orderkey <= 2000 THEN 'B1' WHEN o_orderkey <= 5000 THEN 'B2' ELSE 'C' END AS band, count(*) AS n FROM orders GROUP BY 1",
+    "fallback_bands": "SELECT CASE WHEN o_orderkey <= 500 THEN 'A1' WHEN o_orderkey <= 1000 THEN 'A2' WHEN o_orderkey <= 2000 THEN 'B1' WHEN o_orderkey <= 5000 THEN 'B2' ELSE 'C' END AS band, count(*) AS n FROM orders GROUP BY 1",
     "quota_days": """SELECT strftime(ts - INTERVAL 8 HOUR, '%Y-%m') AS month, CAST(CAST(ts - INTERVAL 8 HOUR AS DATE) + 1 AS TIMESTAMP) + INTERVAL 8 HOUR AS until, count(*) AS n FROM events GROUP BY 1, 2""",
 }

@@ -130,6 +130,6 @@ ORACLES = {
       ok AS (SELECT c.*, coalesce(c.unit = l.last_unit, false) AS again FROM cand c LEFT JOIN asked a ON a.learner = c.learner AND a.unit = c.unit LEFT JOIN lastu l ON l.learner = c.learner
         WHERE (tier = 3 OR coalesce(asks, 0) < 4) AND NOT (tier IN (1, 2, 4) AND coalesce(back, 1000000) <= 3) AND NOT (tier IN (1, 4) AND coalesce(c.unit = l.last_unit, false)))
       SELECT learner, ['requested', 'pending', 'overdue', 'new', 'ahead', 'looping'][tier + 1] AS tier, unit FROM ok
-      QUALIFY row_number() OVER (PARTITION BY learner ORDER BY tier, again, k1, k2, unit) = 1""",
+      QUALIFY row_number() OVER (PARTITION BY learner ORDER BY tier, again AND tier IN (0, 2), k1, k2, unit) = 1""",
     "unit_stages": f"""WITH {LOG} SELECT learner, unit, CASE max(seq) % 3 WHEN 0 THEN 'deferred' WHEN 1 THEN 'never' ELSE 'known' END AS stage FROM log WHERE type = 'reset' AND unit IS NOT NULL GROUP BY learner, unit""",
 }
