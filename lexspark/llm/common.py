@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import xxhash
@@ -45,6 +47,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns of these names renamed to fresh ones, and the way back for ``withColumnsRenamed``; case does not tell names apart."""
+    taken, asked, fresh = {c.lower() for c in df.columns}, {n.lower() for n in names}, {}
+    for c in df.columns:
+        if c.lower() in asked:
+            fresh[c] = next(f"aside{i}_{c}" for i in itertools.count() if f"aside{i}_{c}".lower() not in taken)
+    return df.withColumnsRenamed(fresh), {new: old for old, new in fresh.items()}
+
+
 def n_words(text: Column) -> Column:
     """Words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

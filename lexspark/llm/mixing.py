@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import checkpoint, n_words, seeded_unit, table
+from lexspark.llm.common import checkpoint, n_words, seeded_unit, set_aside, table
 
 #: Beyond so many sources the table of rates is joined by a shuffle instead of a broadcast.
 BROADCAST_SOURCES = 50_000
@@ -45,8 +45,9 @@ def with_copies(docs: DataFrame, share: float = 1.5, weights: Sequence[float] =
     the fraction of the rate; it never is above ``most`` for whole ``most``. The rates are a small
     table, counted before it is broadcast. Rows with the same doc_id draw alike. A null text has
     size 0; a null source is a source of its own. Columns of ``docs`` with the names of new columns
-    are replaced. No rows: no rows.
+    are replaced, all others stay. No rows: no rows.
     """
+    docs, back = set_aside(docs, ("_source", "rate"))
     docs = docs.drop("size", "source_size", "target", "copies").withColumn("size", n_words(F.col("text")))
     rates = checkpoint(source_rates(docs.select("source", "size"), share, weights, most)).withColumnRenamed("source", "_source")
     if rates.count() <= BROADCAST_SOURCES:
@@ -54,16 +55,18 @@ def with_copies(docs: DataFrame, share: float = 1.5, weights: Sequence[float] =
     held = docs.join(rates, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     whole = F.floor("rate")
     extra = seeded_unit(seed, F.col("doc_id")) < F.col("rate") - whole
-    return held.withColumn("copies", (whole + extra.cast("int")).cast("int")).drop("rate")
+    return held.withColumn("copies", (whole + extra.cast("int")).cast("int")).drop("rate").withColumnsRenamed(back)
 
 
 def mix(docs: DataFrame, **options: object) -> DataFrame:
-    """The mix itself: each row of ``docs`` as many times as ``with_copies`` says, the columns of ``docs``."""
+    """The mix itself: each row of ``docs`` as many times as ``with_copies`` says, the columns of ``docs``, whatever their names."""
+    docs, back = set_aside(docs, ("size", "source_size", "target", "copies", "_copy"))
     taken = with_copies(docs, **options).where("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(docs.columns)
+    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(docs.columns).withColumnsRenamed(back)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, size, source_size, target, taken)`` of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return with_copies(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import n_words, stored, table
+from lexspark.llm.common import n_words, set_aside, stored, table
 
 _SPACE = " \t\n\x0b\x0c\r"
 _SPACES = r"[\x20\x09-\x0D]+"
@@ -184,12 +184,14 @@ def cascade(docs: DataFrame, order: list[tuple[Rule, float, float]]) -> DataFram
 def judged(docs: DataFrame, sample_rows: int = 2_000) -> DataFrame:
     """``docs`` with its ``text_stats``, base_failed, rejected_by and kept.
 
-    Every row gets a verdict. Null and blank texts fail the base for want of words. No rows: no rows.
+    Every row gets a verdict. Null and blank texts fail the base for want of words. Columns with the names of new ones are
+    replaced, all others stay. No rows: no rows.
     """
+    docs, back = set_aside(docs, ("_words", "_places"))
     stats = text_stats(docs.drop("base_failed", "rejected_by", "kept"))
     base = functools.reduce(lambda a, b: a | b, [r.rejects(at_hand(stats.columns)) for r in BASE])
     own = cascade(stats, rule_order(docs, BASE + RULES, sample_rows))
-    return own.withColumn("base_failed", base).withColumn("kept", F.col("rejected_by").isNull())
+    return own.withColumn("base_failed", base).withColumn("kept", F.col("rejected_by").isNull()).withColumnsRenamed(back)
 
 
 def _words(df: DataFrame) -> DataFrame:
@@ -206,14 +208,16 @@ def _own(name: str) -> Column:
 
 
 def keep_good(docs: DataFrame, sample_rows: int = 2_000) -> DataFrame:
-    """The rows of ``docs`` that no rule rejects, its columns unchanged; names that begin with ``_`` must not clash with the counts' own."""
+    """The rows of ``docs`` that no rule rejects, its columns unchanged, whatever their names."""
+    docs, back = set_aside(docs, ("_words", "_places", *[f"_{c}" for c in COUNTS]))
     order = rule_order(docs, BASE + RULES, sample_rows)
     late = next(i for i, (r, _, _) in enumerate(order) if r.repeats)
     left = _words(docs).where(first_reason(order[:late], _own).isNull())
-    return _repeats(left).where(first_reason(order[late:], _own).isNull()).select(docs.columns)
+    return _repeats(left).where(first_reason(order[late:], _own).isNull()).select(docs.columns).withColumnsRenamed(back)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)`` of every document."""
     found = judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexspark.llm.common import checkpoint, shared_dir, table
+from lexspark.llm.common import checkpoint, set_aside, shared_dir, table
 
 #: Bytes of text that a bucket is meant to hold.
 BUCKET_BYTES = 16 << 20
@@ -55,7 +55,7 @@ def shuffled_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 10,
     """Write ``docs`` as Parquet to ``path``/shard=k in a random order and return what was written.
 
     Columns: those of ``docs`` and ``shard`` and ``slot`` (place in the shard, from 0, without
-    gaps); clashing columns of ``docs`` are replaced. Counts of shards are at most one apart. The
+    gaps); columns of ``docs`` with these two names are replaced, all others stay (names that the work itself needs are written as ``aside0_...``). Counts of shards are at most one apart. The
     order depends on the seed, the rows and the number of buckets, not on partitioning; reruns
     agree. Equal texts are dealt apart, because doc_id is hashed too: law ``rows`` leaves no room to keep a
     group of copies in one shard. Rows that repeat as a whole are told apart by numbers, so a row that
@@ -63,10 +63,10 @@ def shuffled_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 10,
     own size. Null ids and texts are hashed as such. No rows: an empty table.
     """
     spark = docs.sparkSession
-    docs = docs.drop("shard", "slot", "_bucket", "_key", "_row", "_n", "_i")
+    docs, back = set_aside(docs.drop("shard", "slot"), ("_bucket", "_key", "_row", "_n", "_i", "_start", "_place"))
     rows, size = docs.agg(F.count("*"), F.sum(record_size(F.col("text")))).first()
     if not rows:
-        return docs.withColumns({"slot": F.lit(0).cast("long"), "shard": F.lit(0)}).where("false")
+        return docs.withColumns({"slot": F.lit(0).cast("long"), "shard": F.lit(0)}).where("false").withColumnsRenamed(back)
     buckets = max(1, -(-size // bucket_bytes))
     bucket = F.pmod(F.shiftright("_key", 20), F.lit(buckets)).cast("int")
     keyed = _told_apart(docs, seed)
@@ -92,10 +92,11 @@ def shuffled_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 10,
     placed = mixed.join(F.broadcast(starts) if buckets <= 100_000 else starts, "_bucket").withColumns({"shard": shard.cast("int"), "slot": slot.cast("long")})
     placed.select(*names, "slot", "shard").write.partitionBy("shard").parquet(path)
     written = T.StructType([*docs.schema.fields, T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])
-    return spark.read.schema(written).parquet(path)
+    return spark.read.schema(written).parquet(path).withColumnsRenamed(back)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, size, text_crc32, law, shard, slot, grown_shard)`` of every document, read back from its shard."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     written = shuffled_shards(docs, f"{shared_dir(spark)}/lexspark-{uuid.uuid4().hex}/shards")
     return written.select(

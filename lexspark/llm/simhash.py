@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import stored, table
+from lexspark.llm.common import set_aside, stored, table
 from lexspark.llm.components import connected_components
 
 _LOW = 0x5555555555555555
@@ -126,13 +126,14 @@ def keep_first(docs: DataFrame, words: int = 3, max_distance: int = 3) -> DataFr
     """One document of each group of near duplicates, the one with the smallest doc_id, all columns kept.
 
     Rows that share a doc_id are one document, of which one row stays (the choice is by a hash of
-    the row). Rows without a doc_id cannot be told apart by the result and all stay.
+    the row). Rows without a doc_id cannot be told apart by the result and all stay. Columns keep their names, whatever these are.
     """
+    docs, back = set_aside(docs, ("_row", "fp", "component_id"))
     kept = near_duplicates(docs, words=words, max_distance=max_distance).where("doc_id = component_id")
     named = docs.where("doc_id is not null").join(kept.select("doc_id").distinct(), "doc_id", "left_semi")
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
     one = named.withColumn("_row", F.row_number().over(first)).where("_row = 1").select(docs.columns)
-    return one.unionByName(docs.where("doc_id is null"))
+    return one.unionByName(docs.where("doc_id is null")).withColumnsRenamed(back)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexspark.llm.common import WordHashes, mix, rolling, table
+from lexspark.llm.common import mix, rolling, set_aside, table, WordHashes
 
 #: Words in a seed, and hashes that a task gathers before it sends them.
 SEED_WORDS, GATHERED = 5, 4_000_000
@@ -272,18 +272,21 @@ def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     A word goes if it is in a window of ``window`` words that also starts in a document with a
     smaller doc_id; windows are those of the input. The white space after a removed word goes with
     it. Texts that lose nothing stay as they are, null too. Rows with one doc_id are one document:
-    their windows do not remove each other's. Rows without a doc_id are neither cut nor sources. Clashing
-    columns are replaced. No rows: no rows.
+    their windows do not remove each other's. Rows without a doc_id are neither cut nor sources. doc_id must be a
+    long. Columns with the names of the three new ones are replaced, all others stay. No rows: no rows.
     """
-    docs = docs.drop("n_words", "n_removed", "kept_sha256")
+    docs, back = set_aside(docs.drop("n_words", "n_removed", "kept_sha256"), ("_doc", "_spans", "marks"))
+    if docs.schema["doc_id"].dataType != T.LongType():
+        raise TypeError("doc_id must be a long")
     spans = _spans(docs, window).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("start", "n")).alias("_spans"))
     new = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     schema = T.StructType([*docs.schema.fields, *new])
     held = docs.join(spans, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
-    return held.mapInArrow(_removal(schema, docs.columns, window), schema)
+    return held.mapInArrow(_removal(schema, docs.columns, window), schema).withColumnsRenamed(back)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, n_words, n_removed, kept_sha256)`` of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return without_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
