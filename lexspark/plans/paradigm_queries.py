@@ -108,7 +108,7 @@ ORACLES = {
     "closed_class_readings": rf"""WITH toks AS (SELECT unnest(regexp_extract_all(lower(text), '{WORD}')) AS form FROM documents), c AS (SELECT form, count(*) AS n FROM toks GROUP BY form), {_CLOSED}
 SELECT form, n, family, lemma, kase AS "case", gender, number, coalesce(person, '') AS person FROM c JOIN closed USING (form)""",
     "adjective_readings": f"""{_BASE}, {_ENDINGS}, l AS (SELECT word FROM words WHERE length(word) >= 3) SELECT f.word AS form, l.word AS lemma, count(*) AS cells, count(*) FILTER (declension = 'strong') AS strong, min(kase) AS first_case
-FROM l, (SELECT declension, ending, kase FROM endings) e JOIN words f ON f.word = l.word || e.ending AND length(f.word) >= 3 GROUP BY ALL""",
+FROM (SELECT w.word, e.declension, e.kase, left(w.word, length(w.word) - length(e.ending)) AS base FROM l w, endings e WHERE ends_with(w.word, e.ending)) f JOIN l ON l.word = f.base GROUP BY ALL""",
     "weak_verb_readings": f"{_BASE}, st AS (SELECT word AS lemma, {_STEM.replace('{x}', 'word')} AS s FROM words WHERE {_STEM.replace('{x}', 'word')} IS NOT NULL), forms AS ({_FORMS}) SELECT lemma, form, tense, person, number FROM forms WHERE form IN (SELECT word FROM words)",
     "verb_shapes": f"""{_BASE}, k AS (SELECT word AS participle, word || 'en' AS infinitive FROM words WHERE substr(md5(word), 1, 1) = '0'), r AS (SELECT word, {_REST} AS rest FROM words),
 w AS (SELECT word, rest, coalesce(starts_with(rest, 'ge') AND {_END.replace("{x}", "rest")}, false) AS fits, CASE WHEN ends_with(word, 't') AND length(word) >= 3 THEN list_filter([left(word, length(word) - 1) || 'en'] || CASE WHEN ends_with(word, 'et') AND length(word) > 3 THEN [left(word, length(word) - 2) || 'en'] ELSE [] END,
