@@ -26,7 +26,7 @@ def corrected_reviews(spark: SparkSession, d: str) -> DataFrame:
 def corrected_streaks(spark: SparkSession, d: str) -> DataFrame:
     """The last rating of each unit after corrections, counted by learner: a correction that comes in late changes it too."""
     held = exchange.corrected(_entries(spark, d)).groupBy("learner", "unit_id").agg(F.max_by("rating", F.struct("ts", "seq")).alias("rating"))
-    return held.groupBy("learner").agg(F.count_if("rating = 1").alias("again"), F.count_if("rating > 1").alias("held"))
+    return held.groupBy("learner").agg(F.count_if(F.col("rating") == 1).alias("again"), F.count_if(F.col("rating") > 1).alias("held"))
 
 
 def paired_lines(spark: SparkSession, d: str) -> DataFrame:
