@@ -239,8 +239,9 @@ ORACLES = {
     "detected_adj_noun": _final("'adj_noun'", _SQL_ADJ_NOUN),
     "detected_adj_verb": _final("'adj_verb'", _SQL_ADJ_VERB),
     "detected_single_words": _final("kind", _SQL_WORDS),
-    "single_word_units": f"""WITH {TREES}, {_found("kind", _SQL_WORDS)}, worded AS (SELECT line_id, array_to_string(ws, ' ') AS text FROM sent)
-SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY kind, unit_key, source ORDER BY line_id, CAST(places AS INTEGER)) AS n FROM told WHERE substr(md5(unit_key), 1, 1) IN ('0', '1', '2', '3', '4', '5', '6', '7')
+    "single_word_units": f"""WITH {TREES}, {_found("kind", _SQL_WORDS)}, worded AS (SELECT line_id, array_to_string(ws, ' ') AS text FROM sent),
+known AS (SELECT DISTINCT unit_key FROM told WHERE substr(md5(unit_key), 1, 1) IN ('0', '1', '2', '3', '4', '5', '6', '7'))
+SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY kind, unit_key, source ORDER BY line_id, CAST(places AS INTEGER)) AS n FROM told WHERE (unit_key IN (FROM known) OR replace(unit_key, 'ß', 'ss') IN (FROM known))
   AND line_id IN (SELECT line_id FROM worded WHERE text IN (SELECT text FROM worded WHERE regexp_matches(line_id, '[02468]$')))) WHERE n <= 3""",
     "role_counts": f"""WITH {TREES}
 SELECT role, lemma, count(*) AS sentences FROM (
