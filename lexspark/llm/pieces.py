@@ -35,9 +35,9 @@ from lexspark.llm.common import mix, table
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of text whose lattices are made at once, at least one text.
-BATCH_CHARS = 800_000
+BATCH_CHARS = 400_000
 #: Edges of lattices (20 bytes each) that a task keeps for its next texts. What is kept changes no result.
-KEPT_EDGES = 4_000_000
+KEPT_EDGES = 2_000_000
 #: Chunks of more characters are cut where no piece reaches over.
 LONG = 48
 #: Characters of a chunk whose edges are laid out at once.
