@@ -62,18 +62,35 @@ def plausible(x: Column) -> Column:
     return F.length(x).between(25, 160) & x.rlike("[.!?]$") & words.between(5, 18) & ~x.rlike(r"[|<>\[\]{}\t]")
 
 
-# Words whose double s is theirs in any spelling.
+# Words whose double s is theirs in any spelling, and Swiss spellings; those of "groß" and "weiß" are names with a capital
 OWN_DOUBLE_S = ("diesseits", "jenseits")
+SWISS = ("heissend", "heissen", "heisst", "heisse", "hiessen", "hiess", "geheissen", "draussen")
+SWISS_SMALL = ("gross", "grosse", "grossem", "grossen", "grosser", "grosses", "weiss", "weisse", "weissem", "weissen", "weisser", "weisses", "weisst")
+SWISS_STEM = "^(?:strasse.*|fuss(?:es)?|füsse.*|mass(?:es)?|spass(?:es)?)$"
+SWISS_NUMBER = r"[0-9]['’][0-9]{3}(?:[^0-9]|$)"
+#: A double quotation mark, the first of the text, that closes what was not opened.
+MID_QUOTATION = r"^[^\"„“”«»]*[^\s(\[{<\"„“”«»][\"“”«](?:[^\p{L}\p{N}]|$)"
+TERMINAL = r"[.!?…]['\"”’)]*\s*$"
+
+
+def swiss_spelling(x: Column) -> Column:
+    """Whether a sentence writes ss for sharp s after a long vowel, or parts thousands by an apostrophe."""
+
+    def word(w: Column) -> Column:
+        low = F.lower(w)
+        diphthong = low.rlike("(?:ei|eu|äu|ie)ss") & ~low.isin(*OWN_DOUBLE_S) & ~(low.startswith("weiss") & (w != low))
+        return low.isin(*SWISS) | w.isin(*SWISS_SMALL) | low.rlike(SWISS_STEM) | diphthong
+
+    return F.exists(F.regexp_extract_all(x, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), word) | x.rlike(SWISS_NUMBER)
 
 
 def shape_reason(x: Column) -> Column:
-    """The first rule of shape that a sentence breaks, else null."""
-    swiss = F.exists(F.regexp_extract_all(F.lower(x), F.lit(r"\p{L}*(?:ei|eu|äu|ie)ss\p{L}*"), F.lit(0)), lambda w: ~w.isin(*OWN_DOUBLE_S))
+    """The first rule of shape that a sentence breaks, else null. The first letter counts, whatever stands before it."""
     return (
-        F.when(~x.rlike(r"^[\"“„»«']?\p{Lu}"), "not_capitalized")
-        .when(~x.rlike(r"[.!?][\"“”«»']?$"), "no_terminal_punctuation")
-        .when(swiss, "swiss_spelling")
-        .when(x.rlike(r"^[^\"“”„]*\p{L}[\"”](?:[\s.,!?]|$)"), "opens_mid_quotation")
+        F.when(~F.regexp_extract(x, r"\p{L}", 0).rlike(r"^(?:\p{Lu}|$)"), "not_capitalized")
+        .when(~x.rlike(TERMINAL), "no_terminal_punctuation")
+        .when(swiss_spelling(x), "swiss_spelling")
+        .when(x.rlike(MID_QUOTATION), "opens_mid_quotation")
     )
 
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.plans import chunk_queries, corpus_queries, curation_queries, decision_queries, exchange_queries, gloss_queries, grading_queries, level_queries, lexicon_queries, log_queries, paradigm_queries, parse_queries, pattern_queries, session_queries, unit_queries
+from lexspark.plans import carrier_queries, chunk_queries, corpus_queries, curation_queries, decision_queries, exchange_queries, gloss_queries, grading_queries, level_queries, lexicon_queries, log_queries, paradigm_queries, parse_queries, pattern_queries, session_queries, unit_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (corpus_queries, log_queries, unit_queries, grading_queries, gloss_queries, decision_queries, pattern_queries, session_queries, curation_queries, level_queries, parse_queries, lexicon_queries, paradigm_queries, exchange_queries, chunk_queries)
+MODULES = (corpus_queries, log_queries, unit_queries, grading_queries, gloss_queries, decision_queries, pattern_queries, session_queries, curation_queries, level_queries, parse_queries, lexicon_queries, paradigm_queries, exchange_queries, chunk_queries, carrier_queries)
 
 
 def _merged(tables: list[dict]) -> dict:

@@ -154,6 +154,22 @@ QUERIES = {
     )
 }
 
+def shape_sql(x: str) -> str:
+    """The rules of shape as one CASE over a text."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    listed = lambda words: "(" + ", ".join(map(quoted, words)) + ")"
+    low = "lower(w)"
+    word = (
+        f"{low} IN {listed(X.SWISS)} OR w IN {listed(X.SWISS_SMALL)} OR regexp_matches({low}, {quoted(X.SWISS_STEM)}) "
+        f"OR (regexp_matches({low}, '(?:ei|eu|äu|ie)ss') AND {low} NOT IN {listed(X.OWN_DOUBLE_S)} AND NOT (starts_with({low}, 'weiss') AND w <> {low}))"
+    )
+    return (
+        rf"CASE WHEN regexp_matches(regexp_extract({x}, '\p{{L}}'), '^[^\p{{Lu}}]') THEN 'not_capitalized' WHEN NOT regexp_matches({x}, {quoted(X.TERMINAL)}) THEN 'no_terminal_punctuation' "
+        rf"WHEN len(list_filter(regexp_extract_all({x}, '[\p{{L}}\p{{N}}_]+'), lambda w: {word})) > 0 OR regexp_matches({x}, {quoted(X.SWISS_NUMBER)}) THEN 'swiss_spelling' "
+        rf"WHEN regexp_matches({x}, {quoted(X.MID_QUOTATION)}) THEN 'opens_mid_quotation' END"
+    )
+
+
 _WORD_COUNTS = r""", words AS (
   SELECT replace(w, 'ß', 'ss') AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS w FROM lines) GROUP BY 1 ORDER BY n DESC, word LIMIT 20000
 )"""
@@ -197,10 +213,7 @@ ORACLES = {
 SELECT source, line_id, text, copies FROM (SELECT *, count(*) OVER (PARTITION BY text) AS copies FROM lines)
 QUALIFY row_number() OVER (PARTITION BY text ORDER BY CAST(substr(source, 4) AS INTEGER), doc_id, pos) = 1""",
     "sentences_sampled": f"WITH {LINES} SELECT line_id, text FROM lines ORDER BY sha256('1:' || text), line_id LIMIT 200",
-    "sentence_shapes": rf"""WITH {LINES}
-SELECT source, CASE WHEN NOT regexp_matches(text, '^["“„»«'']?\p{{Lu}}') THEN 'not_capitalized' WHEN NOT regexp_matches(text, '[.!?]["“”«»'']?$') THEN 'no_terminal_punctuation'
-  WHEN len(list_filter(regexp_extract_all(lower(text), '\p{{L}}*(?:ei|eu|äu|ie)ss\p{{L}}*'), lambda w: w NOT IN ('diesseits', 'jenseits'))) > 0 THEN 'swiss_spelling'
-  WHEN regexp_matches(text, '^[^"“”„]*\p{{L}}["”](?:[\s.,!?]|$)') THEN 'opens_mid_quotation' ELSE 'fine' END AS reason, count(*) AS n FROM sent GROUP BY ALL""",
+    "sentence_shapes": f"WITH {LINES} SELECT source, coalesce({shape_sql('text')}, 'fine') AS reason, count(*) AS n FROM sent GROUP BY ALL",
     "sentences_gated": rf"""WITH {LINES}, gate AS (SELECT DISTINCT unnest(list_transform(regexp_extract_all(text, '[^.!?\n]+[.!?]*'), lambda x: trim(x))) AS text FROM benchmark)
 SELECT source, count(*) AS n, count(DISTINCT text) AS texts FROM sent WHERE text IN (SELECT text FROM gate) GROUP BY source""",
     "ngram_counts": f"WITH {LINES}{_GRAMS} SELECT ngram, n, everyday FROM grams",
