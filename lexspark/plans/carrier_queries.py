@@ -70,8 +70,8 @@ def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(source, line_id, text, tokens)``: a sentence of ``SENTENCES`` for each run of ``LENGTH`` words of ``documents``, with its own noun and changes by hashes."""
     held = F.from_json(F.lit(json.dumps([tokens_of(x) for x in SENTENCES.values()])), "array<array<struct<i:int,text:string,lemma:string,pos:string,tag:string,dep:string,head:int,morph:map<string,string>>>>")
     words = read(spark, sf_dir, "documents").select("source", "doc_id", F.regexp_extract_all("text", F.lit(r"[a-z]+"), F.lit(0)).alias("w")).where("size(w) > 0")
-    runs = words.select("source", "doc_id", F.explode(F.expr(f"sequence(0, (size(w) - 1) div {LENGTH})")).alias("k"), "w")
-    runs = runs.select("source", F.concat_ws("#", "doc_id", "k").alias("line_id"), F.get("w", F.col("k") * LENGTH).alias("w"))
+    runs = words.select("source", "doc_id", F.posexplode(F.filter("w", lambda _, i: i % LENGTH == 0)).alias("k", "w"))
+    runs = runs.select("source", F.concat_ws("#", "doc_id", "k").alias("line_id"), "w")
     digits = lambda h, at: F.conv(F.substring(h, at, 2), 16, 10).cast("int")
     runs = runs.withColumn("s", F.get(held, digits(F.md5("line_id"), 1) % len(SENTENCES)))
 
