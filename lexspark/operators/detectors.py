@@ -1,6 +1,7 @@
 """Units of vocabulary in parsed sentences: verbs with prepositions, reflexive and separable verbs, collocations, single words.
 
-Every detector is one pass over trees (see ``trees``): an array of candidates a row, exploded at its end. What the dictionary decides
+Every detector is an array of candidates over a sentence's tokens (see ``trees``), exploded at its end. Cheap rules on a token come before walks through
+the tree, which are made for the tokens that are left; no tree is stored. What the dictionary decides
 about a verb (whether the lemma is a word, whether a particle makes a word with it, whether it is written with its prefix) hangs on the verb's lemma
 and particle only. These pairs are looked up once in a small table that is joined to the candidates; sentences are never regrouped.
 
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions.text import normalise
-from lexspark.operators.trees import INSEPARABLE, PREFIXES, REFLEXIVES, form_key, is_word, reported, told, with_trees
+from lexspark.operators.trees import INSEPARABLE, PREFIXES, REFLEXIVES, children, finite_at, form_key, is_word, let, particle_at, reflexive_at, reported, subject_at, told, verb_of, with_tokens
 from lexspark.storage import stored
 
 #: Pairs of a verb's lemma and particle that are broadcast; beyond that they are joined by a shuffle.
@@ -62,14 +63,6 @@ def _mapped(x: Column, values: dict[str, str], other: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(v) for kv in values.items() for v in kv])[x], other)
 
 
-def _kids(x: Column) -> Column:
-    return F.get("kids", x["i"])
-
-
-def _verb_of(x: Column) -> Column:
-    return F.get("verb", x["i"])
-
-
 def _shown(x: Column) -> Column:
     return F.struct(x["i"].cast("int").alias("i"), x["idx"].cast("int").alias("start"), (x["idx"] + F.length(x["text"])).cast("int").alias("end"), x["text"].alias("text"))
 
@@ -77,18 +70,22 @@ def _shown(x: Column) -> Column:
 def _found(kind: str, lead: list[Column], tail: list[Column], verb: Column | None, others: list[Column], form: Column | None = None, case: Column | None = None, fused: Column | None = None, **evidence: Column) -> Column:
     """A candidate: the words of its key before and after the verb's, the verb's place, other tokens; ``form`` defaults to the verb's."""
     none = F.lit(None).cast("string")
-    v = F.get("t", verb) if verb is not None else None
-    particle = F.get("particle", verb) if verb is not None else None
     lone = F.lit(None).cast("struct<i:int,start:int,end:int,text:string>")
-    return F.struct(
-        F.lit(kind).alias("kind"), F.array(*lead).cast("array<string>").alias("lead"), F.array(*tail).cast("array<string>").alias("tail"),
-        F.lit(verb is not None).alias("verbal"), (v["lem"] if v is not None else none).alias("lemma"), (v["pos"] == "AUX" if v is not None else F.lit(False)).alias("plain"),
-        F.coalesce(particle["low"], F.lit("")).alias("particle") if v is not None else F.lit("").alias("particle"), (told(particle["needs"]) if v is not None else F.lit(False)).alias("needs"),
-        (F.when(particle.isNotNull(), F.struct(particle["i"].cast("int").alias("i"), particle["idx"].cast("int").alias("start"), (particle["idx"] + F.length(particle["text"])).cast("int").alias("end"), particle["text"].alias("text"))) if v is not None else lone).alias("particle_token"),
-        F.array(*[_shown(o) for o in others], *([_shown(v)] if v is not None else [])).cast(_NO_TOKENS).alias("tokens"),
-        (form if form is not None else form_key(v)).alias("form_key"), (case if case is not None else none).alias("case"), (fused if fused is not None else F.lit(False)).alias("fusable"),
-        F.create_map(*[c for k, e in evidence.items() for c in (F.lit(k), e.cast("string"))]).alias("evidence") if evidence else F.create_map().cast("map<string,string>").alias("evidence"),
-    )
+
+    def held(v: Column | None, particle: Column | None) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"), F.array(*lead).cast("array<string>").alias("lead"), F.array(*tail).cast("array<string>").alias("tail"),
+            F.lit(verb is not None).alias("verbal"), (v["lem"] if v is not None else none).alias("lemma"), (v["pos"] == "AUX" if v is not None else F.lit(False)).alias("plain"),
+            F.coalesce(particle["low"], F.lit("")).alias("particle") if v is not None else F.lit("").alias("particle"), (told(particle["needs"]) if v is not None else F.lit(False)).alias("needs"),
+            (F.when(particle.isNotNull(), _shown(particle)) if v is not None else lone).alias("particle_token"),
+            F.array(*[_shown(o) for o in others], *([_shown(v)] if v is not None else [])).cast(_NO_TOKENS).alias("tokens"),
+            (form if form is not None else form_key(v)).alias("form_key"), (case if case is not None else none).alias("case"), (fused if fused is not None else F.lit(False)).alias("fusable"),
+            F.create_map(*[c for k, e in evidence.items() for c in (F.lit(k), e.cast("string"))]).alias("evidence") if evidence else F.create_map().cast("map<string,string>").alias("evidence"),
+        )
+
+    if verb is None:
+        return held(None, None)
+    return let(F.struct(F.get("t", verb).alias("v"), particle_at(verb).alias("p")), lambda s: held(s["v"], s["p"]))
 
 
 def _base(prep: Column) -> Column:
@@ -98,49 +95,59 @@ def _base(prep: Column) -> Column:
 def _case_of(prep: Column) -> Column:
     """The case that a preposition governs: its own, or that of its noun kernels if they agree."""
     of = lambda x: F.create_map(*[F.lit(v) for kv in CASES.items() for v in kv])[x["morph"]["Case"]]
-    below = F.array_distinct(F.filter(F.transform(F.filter(_kids(prep), lambda c: c["dep"] == "nk"), of), lambda c: c.isNotNull()))
+    below = F.array_distinct(F.filter(F.transform(children(prep["i"], lambda c: c["dep"] == "nk"), of), lambda c: c.isNotNull()))
     return F.coalesce(of(prep), F.when(F.size(below) == 1, F.get(below, F.lit(0))))
 
 
 def _frames(prep: Column) -> Column:
     """Whether what is under a preposition is a time, a measure or a name."""
     one = lambda c: (c["dep"] == "nk") & (c["text"].rlike(r"\p{Nd}") | c["pos"].isin("NUM", "PROPN") | c["low"].isin(NUMBER_WORDS + TEMPORAL_NOUNS) | c["lem"].isin(TEMPORAL_NOUNS))
-    return F.exists(_kids(prep), lambda c: told(one(c)))
+    return F.exists(children(prep["i"]), lambda c: told(one(c)))
+
+
+def _governed(tokens: Column) -> Column:
+    """``(x, v)``: tokens under a lexical verb, and its place."""
+    return F.filter(F.transform(tokens, lambda x: F.struct(x.alias("x"), verb_of(x).alias("v"))), lambda s: s["v"] >= 0)
 
 
 def _prepositions() -> Column:
-    """Prepositions with a noun phrase that are a verb's, as tokens."""
-    fits = lambda x: (x["pos"] == "ADP") & x["dep"].isin("op", "mo") & is_word(x["text"]) & ~_base(x).isin(NO_COMPLEMENT) & F.exists(_kids(x), lambda c: told(c["dep"] == "nk")) & ~_frames(x) & (_verb_of(x) >= 0)
-    return F.filter("t", lambda x: told(fits(x)))
+    """Prepositions with a noun phrase that are a verb's, as tokens with the verb's place."""
+    fits = lambda x: (x["pos"] == "ADP") & x["dep"].isin("op", "mo") & is_word(x["text"]) & ~_base(x).isin(NO_COMPLEMENT) & F.exists(children(x["i"]), lambda c: told(c["dep"] == "nk")) & ~_frames(x)
+    return _governed(F.filter("t", lambda x: told(fits(x))))
 
 
 def _prep_case(x: Column) -> Column:
     return F.when(_base(x) != "als", _case_of(x))
 
 
-def verb_prep(trees: DataFrame) -> DataFrame:
+def verb_prep() -> Column:
     """A verb and a preposition of its own, reflexive verbs left out (``reflexive_verb`` has them)."""
-    one = lambda x: _found("verb_prep", [], [_base(x)], _verb_of(x), [x], case=_prep_case(x), dep=x["dep"], verb_i=_verb_of(x), prep_i=x["i"], reflexive=F.lit("false"))
-    return _exploded(trees, F.transform(F.filter(_prepositions(), lambda x: ~F.get("reflexive", _verb_of(x))), one))
+    one = lambda s: _found("verb_prep", [], [_base(s["x"])], s["v"], [s["x"]], case=_prep_case(s["x"]), dep=s["x"]["dep"], verb_i=s["v"], prep_i=s["x"]["i"], reflexive=F.lit("false"))
+    return F.transform(F.filter(_prepositions(), lambda s: ~reflexive_at(s["v"])), one)
 
 
-def reflexive_verb(trees: DataFrame) -> DataFrame:
+def reflexive_verb() -> Column:
     """``sich`` and a verb, for each reflexive pronoun that agrees with its subject, and the same with each preposition of the verb."""
     person, number = ({k: v[i] for k, v in AGREEMENT.items()} for i in (0, 1))
     none = F.lit(None).cast("string")
 
-    def fits(x: Column) -> Column:
-        subject = F.coalesce(F.get("subject", _verb_of(x)), F.get("subject", F.get("finite", _verb_of(x))))
-        agrees = (subject["Person"] == _mapped(x["low"], person, none)) & (subject["Number"] == _mapped(x["low"], number, none))
-        return (x["pos"] == "PRON") & x["low"].isin(REFLEXIVES) & (x["dep"].isin("oa", "da") | ((x["dep"] == "mo") & (x["low"] == "sich"))) & (_verb_of(x) >= 0) & ((x["low"] == "sich") | told(agrees))
+    def agrees(s: Column) -> Column:
+        x = s["x"]
+        of = lambda m: (m["Person"] == _mapped(x["low"], person, none)) & (m["Number"] == _mapped(x["low"], number, none))
+        return (x["low"] == "sich") | told(let(F.coalesce(subject_at(s["v"]), subject_at(finite_at(s["v"]))), of))
 
+    fits = lambda x: (x["pos"] == "PRON") & x["low"].isin(REFLEXIVES) & (x["dep"].isin("oa", "da") | ((x["dep"] == "mo") & (x["low"] == "sich")))
     reciprocal = F.exists("t", lambda x: x["low"].isin("gegenseitig", "einander"))
-    trees = trees.where(~reciprocal).withColumn("prons", F.filter("t", lambda x: told(fits(x)))).withColumn("preps", _prepositions())
     told_of = lambda x: {"pron": x["low"], "pron_case": _mapped(x["low"], PRONOUN_CASES, F.lit(""))}
-    alone = lambda x: _found("reflexive_verb", [F.lit("sich")], [], _verb_of(x), [x], **told_of(x), with_prep=none)
-    both = lambda x, q: _found("reflexive_verb", [F.lit("sich")], [_base(q)], _verb_of(x), [x, q], case=_prep_case(q), **told_of(x), with_prep=_base(q))
-    pairs = F.flatten(F.transform("prons", lambda x: F.transform(F.filter("preps", lambda q: _verb_of(q) == _verb_of(x)), lambda q: both(x, q))))
-    return _exploded(trees, F.concat(F.transform("prons", alone), pairs))
+    alone = lambda s: _found("reflexive_verb", [F.lit("sich")], [], s["v"], [s["x"]], **told_of(s["x"]), with_prep=none)
+    both = lambda s, q: _found("reflexive_verb", [F.lit("sich")], [_base(q)], s["v"], [s["x"], q], case=_prep_case(q), **told_of(s["x"]), with_prep=_base(q))
+
+    def found(prons: Column) -> Column:
+        pairs = lambda preps: F.flatten(F.transform(prons, lambda s: F.transform(F.filter(preps, lambda q: q["v"] == s["v"]), lambda q: both(s, q["x"]))))
+        return F.when(F.size(prons) > 0, F.concat(F.transform(prons, alone), let(_prepositions(), pairs)))
+
+    held = F.filter(_governed(F.filter("t", lambda x: told(fits(x)))), agrees)
+    return F.coalesce(F.when(~reciprocal, let(held, found)), F.array())
 
 
 def _fusable(x: Column) -> Column:
@@ -148,27 +155,25 @@ def _fusable(x: Column) -> Column:
     return (told(x["morph"]["VerbForm"].isin("Inf", "Part")) | x["dep"].isin("oc", "re", "cj")) & ~x["dep"].isin("pd", "mo")
 
 
-def separable_verb(trees: DataFrame) -> DataFrame:
+def separable_verb() -> Column:
     """Separable verbs, written apart ("steht ... auf") or in one word ("aufstehen")."""
-    verbs = F.filter("t", lambda x: (x["pos"] == "VERB") & (F.get("particle", x["i"]).isNotNull() | told(_fusable(x))))
-    return _exploded(trees, F.transform(verbs, lambda x: _found("separable_verb", [], [], x["i"], [], fused=told(_fusable(x)))))
+    verbs = F.filter("t", lambda x: (x["pos"] == "VERB") & (told(_fusable(x)) | particle_at(x["i"]).isNotNull()))
+    return F.transform(verbs, lambda x: _found("separable_verb", [], [], x["i"], [], fused=told(_fusable(x))))
 
 
-def noun_verb(trees: DataFrame) -> DataFrame:
+def noun_verb() -> Column:
     """A noun object and its verb ("Entscheidung treffen", "Hunger haben"), and nouns in fixed phrases with a preposition ("zur Verfügung stehen")."""
     head = lambda x: F.get("t", x["head"])
-    owns = lambda x: told((head(x)["pos"] == "AUX") & (head(x)["lem"] == "haben") & ~F.exists(F.get("kids", x["head"]), lambda c: told(c["dep"] == "oc")))
-    verb = lambda x: F.when(owns(x), x["head"]).otherwise(F.when(~F.get("t", _verb_of(x))["lem"].isin(LIGHT_VERBS), _verb_of(x)))
-    noun = F.filter("t", lambda x: told((x["pos"] == "NOUN") & is_word(x["text"]) & x["dep"].isin("oa", "da") & ~x["lem"].isin(STOP_NOUNS)))
+    owns = lambda x: told((head(x)["pos"] == "AUX") & (head(x)["lem"] == "haben") & ~F.exists(children(head(x)["i"]), lambda c: told(c["dep"] == "oc")))
+    verb = lambda x: F.when(owns(x), x["head"]).otherwise(let(verb_of(x), lambda v: F.when(~F.get("t", v)["lem"].isin(LIGHT_VERBS), v)))
+    noun = F.filter("t", lambda x: told((x["pos"] == "NOUN") & x["dep"].isin("oa", "da") & is_word(x["text"]) & ~x["lem"].isin(STOP_NOUNS)))
     placed = F.filter(F.transform(noun, lambda x: F.struct(x.alias("x"), verb(x).cast("int").alias("v"))), lambda s: told(s["v"] >= 0))
-    there_is = lambda s: (F.get("t", s["v"])["lem"] == "geben") & F.exists(F.get("kids", s["v"]), lambda c: told((c["low"] == "es") & c["dep"].isin("sb", "ep")))
-    trees = trees.withColumn("objects", F.filter(placed, lambda s: ~there_is(s)))
-    objects = F.transform("objects", lambda s: _found("noun_verb", [s["x"]["lemma"]], [], s["v"], [s["x"]], dep=s["x"]["dep"], noun=s["x"]["lem"]))
-    nouns = lambda x: F.filter(_kids(x), lambda c: (c["dep"] == "nk") & (c["pos"] == "NOUN"))
-    fixed = F.filter("t", lambda x: told((x["pos"] == "ADP") & (x["dep"] == "cvc") & (F.size(nouns(x)) == 1) & (_verb_of(x) >= 0)))
-    trees = trees.withColumn("phrases", F.transform(fixed, lambda x: F.struct(x.alias("x"), F.get(nouns(x), F.lit(0)).alias("n"))))
-    phrases = F.transform("phrases", lambda s: _found("noun_verb", [s["x"]["low"], s["n"]["lemma"]], [], _verb_of(s["x"]), [s["x"], s["n"]], dep=F.lit("cvc"), noun=s["n"]["lem"]))
-    return _exploded(trees, F.concat(objects, phrases))
+    there_is = lambda s: (F.get("t", s["v"])["lem"] == "geben") & F.exists(children(s["v"]), lambda c: told((c["low"] == "es") & c["dep"].isin("sb", "ep")))
+    objects = F.transform(F.filter(placed, lambda s: ~there_is(s)), lambda s: _found("noun_verb", [s["x"]["lemma"]], [], s["v"], [s["x"]], dep=s["x"]["dep"], noun=s["x"]["lem"]))
+    nouns = lambda x: children(x["i"], lambda c: c["dep"] == "nk", lambda c: c["pos"] == "NOUN")
+    fixed = _governed(F.filter("t", lambda x: told((x["pos"] == "ADP") & (x["dep"] == "cvc") & (F.size(nouns(x)) == 1))))
+    phrase = lambda s: let(F.get(nouns(s["x"]), F.lit(0)), lambda n: _found("noun_verb", [s["x"]["low"], n["lemma"]], [], s["v"], [s["x"], n], dep=F.lit("cvc"), noun=n["lem"]))
+    return F.concat(objects, F.transform(fixed, phrase))
 
 
 def _plain_degree(x: Column) -> Column:
@@ -184,7 +189,7 @@ def _case_number(x: Column) -> Column:
     return F.concat_ws("|", F.coalesce(x["morph"]["Case"], F.lit("?")), F.coalesce(x["morph"]["Number"], F.lit("?")))
 
 
-def adj_noun(trees: DataFrame) -> DataFrame:
+def adj_noun() -> Column:
     """An attributive adjective and its noun."""
     noun = lambda x: F.get("t", x["head"])
     fits = lambda x: (
@@ -192,40 +197,39 @@ def adj_noun(trees: DataFrame) -> DataFrame:
         & (noun(x)["pos"] == "NOUN") & is_word(noun(x)["text"]) & ~noun(x)["lem"].isin(STOP_NOUNS)
     )
     one = lambda x: _found("adj_noun", [x["lem"], noun(x)["lemma"]], [], None, [x, noun(x)], form=_case_number(x), adj=x["lem"], noun=noun(x)["lem"])
-    return _exploded(trees, F.transform(F.filter("t", lambda x: told(fits(x))), one))
+    return F.transform(F.filter("t", lambda x: told(fits(x))), one)
 
 
-def adj_verb(trees: DataFrame) -> DataFrame:
+def adj_verb() -> Column:
     """A predicative or adverbial adjective and its verb ("ernst nehmen")."""
-    verb = lambda x: F.get("t", _verb_of(x))
     fits = lambda x: (
         x["pos"].isin("ADJ", "ADV") & x["dep"].isin("pd", "oc", "mo") & is_word(x["text"]) & _plain_degree(x) & ~x["lem"].isin(STOP_ADJECTIVES + STOP_ADVERBS)
-        & (F.length(x["lem"]) >= 3) & ~_named(x) & (_verb_of(x) >= 0) & ~verb(x)["lem"].isin(LIGHT_VERBS)
+        & (F.length(x["lem"]) >= 3) & ~_named(x)
     )
-    one = lambda x: _found("adj_verb", [x["lem"]], [], _verb_of(x), [x], dep=x["dep"], adj=x["lem"])
-    return _exploded(trees, F.transform(F.filter("t", lambda x: told(fits(x))), one))
+    held = F.filter(_governed(F.filter("t", lambda x: told(fits(x)))), lambda s: told(~F.get("t", s["v"])["lem"].isin(LIGHT_VERBS)))
+    return F.transform(held, lambda s: _found("adj_verb", [s["x"]["lem"]], [], s["v"], [s["x"]], dep=s["x"]["dep"], adj=s["x"]["lem"]))
 
 
-def single_words(trees: DataFrame) -> DataFrame:
+def single_words() -> Column:
     """Nouns, verbs, and adjectives with adverbs (one kind, since taggers mix them up); separable verbs and particles are none."""
     fits = lambda x: is_word(x["text"]) & F.when(x["pos"] == "NOUN", ~x["lem"].isin(STOP_NOUNS) & (F.length(x["lem"]) >= 3)).when(x["pos"] == "VERB", True).when(
         x["pos"].isin("ADJ", "ADV"), _plain_degree(x) & (x["dep"] != "svp") & (F.length(x["lem"]) >= 3) & ~x["lem"].isin(STOP_ADJECTIVES + GRAMMAR_ADVERBS)
     )
 
+    none = F.lit(None).cast("string")
+
     def one(x: Column) -> Column:
-        none = F.lit(None).cast("string")
         noun = _found("noun", [x["lem"]], [], None, [x], form=_case_number(x), surface=x["text"], gender=F.coalesce(x["morph"]["Gender"], F.lit("")), pos=none)
         adjective = _found("adjective", [x["lem"]], [], None, [x], form=F.when(x["pos"] == "ADJ", _case_number(x)).otherwise("adv"), surface=x["text"], gender=none, pos=x["pos"])
         verb = _found("verb", [], [], x["i"], [], fused=told(_fusable(x)), surface=x["text"], gender=none, pos=none)
         return F.when(x["pos"] == "NOUN", noun).when(x["pos"] == "VERB", verb).otherwise(adjective)
 
-    return _exploded(trees, F.transform(F.filter("t", lambda x: told(fits(x))), one))
+    return F.transform(F.filter("t", lambda x: told(fits(x))), one)
 
 
-def _exploded(trees: DataFrame, candidates: Column) -> DataFrame:
+def _exploded(tokens: DataFrame, candidates: Column) -> DataFrame:
     marked = F.exists("t", lambda x: x["pos"].isin("VERB", "AUX") & reported(x))
-    held = trees.select("source", "line_id", "text", marked.alias("reported"), candidates.alias("c")).where(F.size("c") > 0)
-    return held.select("source", "line_id", "text", "reported", F.inline("c"))
+    return tokens.select("source", "line_id", "text", marked.alias("reported"), F.inline(candidates))
 
 
 def verb_facts(pairs: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
@@ -306,13 +310,14 @@ def word_occurrences(words: DataFrame, lemmas: DataFrame, glossed: DataFrame, ca
 
 def role_counts(trees: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
     """``(role, lemma, sentences)``: in how many sentences a lemma stands as verb, noun, adjective, adverb or preposition. A separated particle belongs to its verb."""
-    pairs = lambda x: F.struct(
+    pairs = lambda x, p: F.struct(
         F.when(x["pos"].isin("VERB", "AUX"), "verb").when(x["pos"] == "NOUN", "noun").when(x["pos"] == "ADJ", "adjective").when(x["pos"] == "ADV", "adverb").otherwise("preposition").alias("role"),
         F.when(x["pos"] == "ADP", x["low"]).otherwise(x["lem"]).alias("lemma"), (x["pos"] == "AUX").alias("plain"),
-        F.when(x["pos"] == "VERB", F.coalesce(F.get("particle", x["i"])["low"], F.lit(""))).otherwise("").alias("particle"), told(F.get("particle", x["i"])["needs"]).alias("needs"),
+        F.when(x["pos"] == "VERB", F.coalesce(p["low"], F.lit(""))).otherwise("").alias("particle"), told(p["needs"]).alias("needs"),
     )
+    particle = lambda x: F.when(x["pos"].isin("VERB", "AUX"), particle_at(x["i"]))
     counted = F.filter("t", lambda x: x["pos"].isin("VERB", "NOUN", "ADJ", "ADV", "ADP") | ((x["pos"] == "AUX") & (x["lem"] == "haben")))
-    row = trees.select("t", "particle", F.monotonically_increasing_id().alias("row")).select("row", F.inline(F.array_distinct(F.transform(counted, pairs))))
+    row = trees.select("t", F.monotonically_increasing_id().alias("row")).select("row", F.inline(F.array_distinct(F.transform(counted, lambda x: let(particle(x), lambda p: pairs(x, p))))))
     row = stored(row)
     facts = stored(verb_facts(row.where("role = 'verb' and not plain"), dictionary))
     if facts.count() <= BROADCAST_VERBS:
@@ -329,9 +334,5 @@ DETECTORS = {f.__name__: f for f in (verb_prep, reflexive_verb, separable_verb,
 
 def detected(parsed: DataFrame, dictionary: DataFrame | None = None, kinds: tuple[str, ...] = tuple(DETECTORS)) -> DataFrame:
     """Occurrences of all ``kinds`` in parsed sentences."""
-    trees = stored(with_trees(parsed))
-    found = None
-    for kind in kinds:
-        one = DETECTORS[kind](trees)
-        found = one if found is None else found.unionByName(one)
-    return occurrences(found, dictionary)
+    candidates = [DETECTORS[kind]() for kind in kinds]
+    return occurrences(_exploded(with_tokens(parsed), candidates[0] if len(candidates) == 1 else F.concat(*candidates)), dictionary)

@@ -8,6 +8,8 @@ over the sentence's own tokens, with at most four hops, so no row meets another.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,22 +39,42 @@ def is_word(x: Column) -> Column:
     return x.rlike(r"^-*\p{L}[\p{L}\-]*$")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once. Inside array functions each mention of an expression is worked out anew."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _sole(found: Column) -> Column:
-    return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
+    return let(found, lambda f: F.when(F.size(f) == 1, F.get(f, F.lit(0))))
+
+
+def children(at: Column, *rules: Callable[[Column], Column]) -> Column:
+    """Tokens right under a place that fit all rules."""
+
+    def fits(c: Column) -> Column:
+        held = (c["head"] == at) & (c["i"] != at)
+        for rule in rules:
+            held = held & rule(c)
+        return held
+
+    return F.filter("t", fits)
+
+
+def particle_at(at: Column) -> Column:
+    """``(i, low, idx, text, needs)`` of a verb's separated prefix, null for none or one that is not to be trusted; ``needs``: only if it makes a word with the verb."""
 
+    def trusted(p: Column) -> Column:
+        before, after = F.get("t", p["i"] - 1), F.get("t", p["i"] + 1)
+        low = p["low"]
+        apart = told(before["low"] == "und") | told(after["low"] == "und") | told(after["pos"].isin(AFTER_NO_PARTICLE_POS) | after["text"].isin(AFTER_NO_PARTICLE_TEXT))
+        of_von = (low == "aus") & F.exists("t", lambda x: (x["low"] == "von") & (x["pos"] == "ADP") & (x["i"] < p["i"]))
+        pronominal = F.lit(False)
+        for head in PRONOMINAL:
+            pronominal = pronominal | low.startswith(head)
+        needs = (pronominal & (low != "dazu")) | low.isin(ADVERB_PARTICLES) | ~low.isin(PREFIXES + PARTICLES)
+        return F.when(p.isNotNull() & (low != "da") & ~apart & ~of_von, F.struct(p["i"].alias("i"), low.alias("low"), p["idx"].alias("idx"), p["text"].alias("text"), needs.alias("needs")))
 
-def _particle(svp: Column) -> Column:
-    """``(i, low, needs)`` of a verb's separated prefix, null for none or one that is not to be trusted; ``needs``: only if it makes a word with the verb."""
-    p = _sole(svp)
-    before, after = F.get("t", p["i"] - 1), F.get("t", p["i"] + 1)
-    low = p["low"]
-    apart = told(before["low"] == "und") | told(after["low"] == "und") | told(after["pos"].isin(AFTER_NO_PARTICLE_POS) | after["text"].isin(AFTER_NO_PARTICLE_TEXT))
-    of_von = (low == "aus") & F.exists("t", lambda x: (x["low"] == "von") & (x["pos"] == "ADP") & (x["i"] < p["i"]))
-    pronominal = F.lit(False)
-    for head in PRONOMINAL:
-        pronominal = pronominal | low.startswith(head)
-    needs = (pronominal & (low != "dazu")) | low.isin(ADVERB_PARTICLES) | ~low.isin(PREFIXES + PARTICLES)
-    return F.when(p.isNotNull() & (low != "da") & ~apart & ~of_von, F.struct(p["i"].alias("i"), low.alias("low"), p["idx"].alias("idx"), p["text"].alias("text"), needs.alias("needs")))
+    return let(_sole(children(at, lambda c: c["dep"] == "svp")), trusted)
 
 
 def form_key(x: Column) -> Column:
@@ -67,41 +89,66 @@ def reported(x: Column) -> Column:
     return told((x["morph"]["Mood"] == "Sub") & (x["morph"]["Tense"] == "Pres"))
 
 
-def with_trees(parsed: DataFrame) -> DataFrame:
-    """``(source, line_id, text)`` with arrays that have an entry for each token.
+def clause_at(at: Column) -> Column:
+    """The place of the one clausal object under a place, -1 for none or several."""
+    return F.coalesce(_sole(children(at, lambda c: c["dep"] == "oc", lambda c: c["pos"] == "VERB"))["i"], F.lit(-1))
 
-    ``t`` the tokens with lower-case ``low`` and ``lem``; ``kids`` the tokens right under each; ``verb`` the place of the lexical verb that governs
-    it, through auxiliaries and modals with one clausal object, -1 for none; ``particle`` (see ``_particle``); ``reflexive`` whether a reflexive
-    pronoun hangs on it or up to three heads above; ``finite`` the finite verb above; ``subject`` its first subject.
-    Sentences without tokens have empty arrays; a head that is no token's place leads nowhere.
-    Work grows with the square of a sentence's length, for its children.
-    """
-    token = lambda x: F.struct(*[x[c].alias(c) for c in ("i", "text", "lemma", "pos", "dep", "head", "idx", "morph")], F.lower(x["text"]).alias("low"), F.lower(x["lemma"]).alias("lem"))
-    p = parsed.select("source", "line_id", "text", F.coalesce(F.transform("tokens", token), F.expr("array()")).alias("t"))
-    p = p.withColumn("kids", F.transform("t", lambda x: F.filter("t", lambda c: (c["head"] == x["i"]) & (c["i"] != x["i"]))))
-    p = p.withColumn("clause", F.transform("kids", lambda k: F.coalesce(_sole(F.filter(k, lambda c: (c["dep"] == "oc") & (c["pos"] == "VERB")))["i"], F.lit(-1))))
+
+def _next(at: Column) -> Column:
+    """Where a walk goes from a place: nowhere from a lexical verb, to the clausal object under an auxiliary, to -1 elsewhere. Children are only sought where they decide."""
 
     def step(x: Column) -> Column:
-        """Where a walk goes from here: its own place at a lexical verb, the clausal object under an auxiliary, -1 elsewhere."""
-        below = F.get("clause", x["i"])
         modal = x["lem"].isin(AUXILIARIES) | ~x["lem"].endswith("n")
-        return F.when((x["pos"] == "VERB") & ~(modal & (below >= 0)), x["i"]).when((x["pos"] == "AUX") | modal, below).otherwise(-1)
-
-    p = p.withColumn("next", F.transform("t", step)).withColumn("heads", F.transform("t", lambda x: x["head"]))
-    go = lambda at: F.coalesce(F.get("next", at), F.lit(-1))
-    p = p.withColumn("last", F.transform("heads", lambda h: go(go(go(h))))).withColumn("verb", F.transform("last", lambda v: F.when(go(v) == v, v).otherwise(-1)))
-    p = p.withColumn("svp", F.transform("kids", lambda k: F.filter(k, lambda c: c["dep"] == "svp"))).withColumn("particle", F.transform("svp", _particle))
-    own = lambda k: F.exists(k, lambda c: told((c["pos"] == "PRON") & c["low"].isin(REFLEXIVES) & (c["morph"]["Reflex"] == "Yes")))
-    up = lambda at: F.get("heads", at)
-    p = p.withColumn("bound", F.transform("kids", own))
-    p = p.withColumn("reflexive", F.transform("t", lambda x: F.get("bound", x["i"]) | told(F.get("bound", x["head"])) | told(F.get("bound", up(x["head"]))) | told(F.get("bound", up(up(x["head"]))))))
-    p = p.withColumn("ends", F.transform("t", lambda x: (x["head"] == x["i"]) | told(F.get("t", x["head"])["morph"]["VerbForm"] == "Fin")))
-
-    def finite(x: Column) -> Column:
-        h1 = x["head"]
-        h2, h3, h4 = up(h1), up(up(h1)), up(up(up(h1)))
-        return F.when(F.get("ends", x["i"]), h1).when(F.get("ends", h1), h2).when(F.get("ends", h2), h3).otherwise(h4)
-
-    p = p.withColumn("finite", F.transform("t", finite))
-    p = p.withColumn("subject", F.transform("kids", lambda k: F.get(F.filter(k, lambda c: c["dep"] == "sb"), F.lit(0))["morph"]))
-    return p.select("source", "line_id", "text", "t", "kids", "clause", "verb", "particle", "reflexive", "finite", "subject")
+        verb = x["pos"] == "VERB"
+        below = let(clause_at(x["i"]), lambda b: F.when(verb & ~(modal & (b >= 0)), x["i"]).when((x["pos"] == "AUX") | modal, b).otherwise(-1))
+        return F.when(x.isNull(), -1).when(verb & ~modal, x["i"]).when(~x["pos"].isin("VERB", "AUX") & ~modal, -1).otherwise(below)
+
+    return let(F.get("t", at), lambda x: F.coalesce(step(x), F.lit(-1)))
+
+
+def verb_of(x: Column) -> Column:
+    """The place of the lexical verb that governs a token, through auxiliaries and modals with one clausal object, -1 for none."""
+    last = F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), x["head"].cast("int"), lambda at, _: _next(at))
+    return let(last, lambda v: F.when((v >= 0) & (_next(v) == v), v).otherwise(-1))
+
+
+def _up(at: Column) -> Column:
+    return F.get("t", at)["head"]
+
+
+def reflexive_at(at: Column) -> Column:
+    """Whether a reflexive pronoun hangs on a place or up to three heads above; null beyond the sentence."""
+    pronouns = F.filter("t", lambda c: told((c["pos"] == "PRON") & c["low"].isin(REFLEXIVES) & (c["morph"]["Reflex"] == "Yes") & (c["head"] != c["i"])))
+    h1 = _up(at)
+    over = lambda held: F.array_contains(held, at) | told(F.array_contains(held, h1)) | told(F.array_contains(held, _up(h1))) | told(F.array_contains(held, _up(_up(h1))))
+    return F.when(F.get("t", at).isNotNull(), let(F.transform(pronouns, lambda c: c["head"]), lambda held: F.when(F.size(held) == 0, False).otherwise(over(held))))
+
+
+def finite_at(at: Column) -> Column:
+    """The place of the finite verb above a place, three heads at most."""
+    ends = lambda i: let(F.get("t", i), lambda x: (x["head"] == x["i"]) | told(F.get("t", x["head"])["morph"]["VerbForm"] == "Fin"))
+    h1, h2, h3 = _up(at), _up(_up(at)), _up(_up(_up(at)))
+    return F.when(ends(at), h1).when(ends(h1), h2).when(ends(h2), h3).otherwise(_up(h3))
+
+
+def subject_at(at: Column) -> Column:
+    """Morphology of the first subject under a place."""
+    return F.get(children(at, lambda c: c["dep"] == "sb"), F.lit(0))["morph"]
+
+
+def with_tokens(parsed: DataFrame) -> DataFrame:
+    """``(source, line_id, text, t)``: ``t`` the tokens with lower-case ``low`` and ``lem``. The functions of this module look at it."""
+    token = lambda x: F.struct(*[x[c].alias(c) for c in ("i", "text", "lemma", "pos", "dep", "head", "idx", "morph")], F.lower(x["text"]).alias("low"), F.lower(x["lemma"]).alias("lem"))
+    return parsed.select("source", "line_id", "text", F.coalesce(F.transform("tokens", token), F.expr("array()")).alias("t"))
+
+
+def with_trees(parsed: DataFrame) -> DataFrame:
+    """``(source, line_id, text)`` with arrays that have an entry for each token.
+
+    ``t`` (see ``with_tokens``); ``kids`` the tokens right under each; ``clause`` (see ``clause_at``), ``verb`` (``verb_of``), ``particle`` (``particle_at``),
+    ``reflexive``, ``finite`` and ``subject`` of each. Sentences without tokens have empty arrays; a head that is no token's place leads nowhere.
+    The detectors ask for what they need at the tokens that they need it for, and never hold these arrays: work grows with the square of a sentence's length.
+    """
+    at = {"kids": children, "clause": clause_at, "particle": particle_at, "reflexive": reflexive_at, "finite": finite_at, "subject": subject_at}
+    each = lambda f: F.transform("t", lambda x: f(x["i"]))
+    return with_tokens(parsed).select("source", "line_id", "text", "t", F.transform("t", verb_of).alias("verb"), *[each(f).alias(name) for name, f in at.items()])

@@ -119,3 +119,21 @@ def test_heads_that_lead_nowhere(spark):
     rows = [("s", "1", "x", [(0, "auf", "auf", "ADP", "op", 7, 0, {}), (1, "geht", "gehen", "VERB", "ROOT", -2, 4, None)])]
     t = trees.with_trees(spark.createDataFrame(rows, SCHEMA)).first()
     assert t.verb == [-1, -1] and detectors.detected(spark.createDataFrame(rows, SCHEMA)).where(F.col("kind") != "verb").count() == 0
+
+
+def test_no_tree_is_stored(spark, monkeypatch):
+    """Walks are made at candidates alone: only candidates and facts about verbs are written, and a sentence without candidates leaves nothing."""
+    written = []
+    keep = detectors.stored
+    monkeypatch.setattr(detectors, "stored", lambda df: written.append(df) or keep(df))
+    parsed = spark.createDataFrame([sentence("wait", SENTENCES["wait"]), sentence("coffee", SENTENCES["coffee"])], SCHEMA)
+    assert [r.unit_key for r in detectors.detected(parsed, None, ("verb_prep",)).collect()] == ["warten auf"]
+    assert len(written) == 2 and not {"t", "kids", "verb"} & {c for df in written for c in df.columns} and written[0].count() == 1
+
+
+def test_trees_and_walks_agree(spark):
+    parsed = spark.createDataFrame([sentence(k, v) for k, v in SENTENCES.items()], SCHEMA)
+    t = trees.with_trees(parsed).where("line_id = 'will get up'").first()
+    assert (t.verb, t.clause, [len(k) for k in t.kids], t.particle, t.finite) == ([2, 2, 2], [-1, 2, -1], [0, 2, 0], [None] * 3, [1, 1, 1])
+    up = trees.with_trees(parsed).where("line_id = 'up'").first()
+    assert [p and (p.i, p.low, p.needs) for p in up.particle] == [None, (3, "auf", False), None, None, None] and up.subject[1] == {"Person": "3", "Number": "Sing"}
