@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import text as X
 from lexspark.operators.paradigms import ADJECTIVE, DEFINITE, EIN, EIN_STEMS, cells
-from lexspark.operators.trees import PREFIXES, told
+from lexspark.operators.trees import PREFIXES, children, let, told
 from lexspark.storage import stored
 
 # Tags and labels that decide results
@@ -44,6 +44,10 @@ REASONS = (
 
 #: Steps from a coordinated verb to the first of its row.
 CONJUNCTS = 5
+#: Heads from a token to the top of its tree; no sentence is as deep.
+DEEPEST = 64
+#: Different rows of words to look up that are broadcast; beyond that they are joined by a shuffle.
+BROADCAST_ASKED = 200_000
 
 
 def _token(x: Column) -> Column:
@@ -63,38 +67,37 @@ def _at(i: Column) -> Column:
 
 
 def _kids(x: Column) -> Column:
-    return F.coalesce(F.get("kids", x["i"]), F.expr("array()"))
+    return let(x["i"], lambda at: children(at))
 
 
-def _through(places: str, step: str) -> Column:
-    """Where one more step leads from each place."""
-    return F.transform(places, lambda i: F.get(step, i))
+def _walked(start: Column, steps: int, step: Callable[[Column], Column]) -> Column:
+    """Where so many steps lead from a place."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda at, _: step(at))
 
 
-def _with_kids(parsed: DataFrame) -> DataFrame:
-    """Tokens ``t`` at their places, children ``kids``, the first conjunct ``row`` of each token and the top ``top`` of its tree."""
-    p = parsed.withColumn("t", F.coalesce(F.transform("tokens", _token), F.expr("array()")))
-    p = p.withColumn("kids", F.transform("t", lambda x: F.filter("t", lambda c: (c["head"] == x["i"]) & (c["i"] != x["i"]))))
+def _row(i: Column) -> Column:
+    """The first conjunct of a token: from each finite verb without a subject to the verb above the conjunction that it hangs on."""
 
-    def before(x: Column) -> Column:
-        """The conjunct before a finite verb without a subject: above the conjunction that it hangs on."""
-        first = _at(_at(x["head"])["head"])
+    def before(x: Column, first: Column) -> Column:
         alone = ~_some(_kids(x), lambda c: c["dep"].isin(SUBJECTS))
-        return F.when(told((x["dep"] == "cj") & alone & _finite(first) & (first["i"] != x["i"])), first["i"]).otherwise(x["i"])
+        return F.when(told(_finite(first) & (first["i"] != x["i"]) & alone), first["i"]).otherwise(x["i"])
 
-    def over(x: Column) -> Column:
-        return F.when(told(x["dep"] == "cj"), F.coalesce(_at(_at(x["head"])["head"])["i"], x["i"])).otherwise(x["i"])
+    step = lambda x: F.when(told(x["dep"] == "cj"), let(_at(_at(x["head"])["head"]), lambda first: before(x, first))).otherwise(x["i"])
+    return _walked(i, CONJUNCTS, lambda at: let(_at(at), step))
 
-    p = p.withColumn("back", F.transform("t", before)).withColumn("over", F.transform("t", over))
-    for name, step in (("row", "back"), ("lead", "over")):
-        p = p.withColumn(name, F.transform("t", lambda x: x["i"]))
-        for _ in range(CONJUNCTS):
-            p = p.withColumn(name, _through(name, step))
-    # a tree's top is reached by doubling the steps: 64 heads are more than any sentence is deep
-    p = p.withColumn("top", F.transform("t", lambda x: F.coalesce(_at(x["head"])["i"], x["i"])))
-    for _ in range(6):
-        p = p.withColumn("top", _through("top", "top"))
-    return p
+
+def _lead(i: Column) -> Column:
+    """The first conjunct of a token, whatever it is."""
+    step = lambda x: F.when(told(x["dep"] == "cj"), F.coalesce(_at(_at(x["head"])["head"])["i"], x["i"])).otherwise(x["i"])
+    return _walked(i, CONJUNCTS, lambda at: let(_at(at), step))
+
+
+def _top(i: Column) -> Column:
+    return _walked(i, DEEPEST, lambda at: F.coalesce(_at(_at(at)["head"])["i"], at))
+
+
+def _with_tokens(parsed: DataFrame) -> DataFrame:
+    return parsed.withColumn("t", F.coalesce(F.transform("tokens", _token), F.expr("array()")))
 
 
 def _content() -> Column:
@@ -107,8 +110,7 @@ def _last(array: Column, back: int = 1) -> Column:
 
 def several_sentences() -> Column:
     """A full stop after which another tree begins."""
-    starts = F.transform("t", lambda x: (F.get("top", x["i"]) != F.get("top", x["i"] - 1)) & (_at(x["i"] - 1)["tag"] == "$."))
-    return F.exists(starts, told)
+    return F.exists("t", lambda x: told((_at(x["i"] - 1)["tag"] == "$.") & (_top(x["i"]) != _top(x["i"] - 1))))
 
 
 def dangling() -> Column:
@@ -179,31 +181,40 @@ def agreement(x: Column) -> Column:
     subjects joined by a conjunction are third persons, plural, or cannot be told. Forms that one spelling shares agree: first and third
     person in the plural, in the past and in the subjunctive; "ihr" with "er" on -t; "du" with "er" after a sibilant; "du" with any form on -st.
     """
-    found = F.filter(_kids(_at(F.get("row", x["i"]))), lambda c: told(c["dep"].isin(SUBJECTS)))
-    s = F.get(found, F.lit(0))
+    found = let(_row(x["i"]), lambda r: children(r, lambda c: told(c["dep"].isin(SUBJECTS))))
+    lead = lambda y: told((y["dep"] == "ROOT") & (y["i"] == 0)) & ~_some(_kids(y), lambda c: c["dep"].isin(SUBJECTS))
+    order = let(_at(_lead(x["i"])), lead) & ~F.col("text").rlike(r"\?\s*$")
+    joins = lambda s: children(s["i"], lambda c: told(c["dep"] == "cd"))
+    one = lambda s: let(joins(s), lambda j: _disagreement(x, s, j))
+    return let(found, lambda f: F.when(F.size(f) == 1, let(F.get(f, F.lit(0)), one)).when(~order, "no_subject_found"))
+
+
+def _disagreement(x: Column, s: Column, joins: Column) -> Column:
+    """What is wrong between a finite verb and its one subject, to which conjunctions join others."""
     person = lambda c: F.when(told((c["pos"] == "PRON") & (c["morph"]["PronType"] == "Prs") & c["morph"]["Person"].isin("1", "2")), c["morph"]["Person"]).otherwise(F.lit("3"))
-    joins = F.filter(_kids(s), lambda c: told(c["dep"] == "cd"))
     others = F.flatten(F.transform(joins, lambda cd: F.filter(_kids(cd), lambda c: told(c["dep"] == "cj"))))
-    joined, thirds = F.size(joins) > 0, (person(s) == "3") & F.forall(others, lambda c: person(c) == "3")
+    joined = F.size(joins) > 0
+    thirds = (person(s) == "3") & F.forall(others, lambda c: person(c) == "3")
+    vp, vn, tense = x["morph"]["Person"], x["morph"]["Number"], x["morph"]["Tense"]
+
+    def hissing() -> Column:
+        stem, held = F.regexp_replace(F.regexp_replace(x["lemma"], "en$", ""), "n$", ""), F.lit(False)
+        for end in SIBILANTS:
+            held = held | stem.endswith(end)
+        return held
+
+    def judged(p: Column, n: Column) -> Column:
+        pair = lambda a, b: (F.concat(p, n) == a) & (F.concat(vp, vn) == b) | (F.concat(p, n) == b) & (F.concat(vp, vn) == a)
+        shared = (
+            pair("1Plur", "3Plur") | (pair("1Sing", "3Sing") & (told(tense == "Past") | told(x["morph"]["Mood"] == "Sub")))
+            | (pair("2Plur", "3Sing") & (tense == "Pres") & x["low"].endswith("t")) | (pair("2Sing", "3Sing") & (tense == "Pres") & hissing())
+        )
+        agrees = told((p == vp) & (n == vn)) | told(shared) | told((p == "2") & (n == "Sing") & x["low"].endswith("st"))
+        return F.when((joined & ~thirds) | n.isNull() | vp.isNull() | vn.isNull(), "agreement_undecidable").when(~agrees, "subject_verb_disagreement")
+
     p = F.when(joined, "3").otherwise(person(s))
     n = F.when(joined, "Plur").otherwise(F.coalesce(s["morph"]["Number"], F.when(told(s["pos"] == "VERB"), "Sing")))
-    vp, vn, tense = x["morph"]["Person"], x["morph"]["Number"], x["morph"]["Tense"]
-    pair = lambda a, b: (F.concat(p, n) == a) & (F.concat(vp, vn) == b) | (F.concat(p, n) == b) & (F.concat(vp, vn) == a)
-    stem = F.regexp_replace(F.regexp_replace(x["lemma"], "en$", ""), "n$", "")
-    hissing = F.lit(False)
-    for end in SIBILANTS:
-        hissing = hissing | stem.endswith(end)
-    shared = (
-        pair("1Plur", "3Plur") | (pair("1Sing", "3Sing") & (told(tense == "Past") | told(x["morph"]["Mood"] == "Sub")))
-        | (pair("2Plur", "3Sing") & (tense == "Pres") & x["low"].endswith("t")) | (pair("2Sing", "3Sing") & (tense == "Pres") & hissing)
-    )
-    agrees = told((p == vp) & (n == vn)) | told(shared) | told((p == "2") & (n == "Sing") & x["low"].endswith("st"))
-    lead = _at(F.get("lead", x["i"]))
-    order = told((lead["dep"] == "ROOT") & (lead["i"] == 0)) & ~_some(_kids(lead), lambda c: c["dep"].isin(SUBJECTS)) & ~F.col("text").rlike(r"\?\s*$")
-    return (
-        F.when((F.size(found) != 1) & order, F.lit(None)).when(F.size(found) != 1, "no_subject_found").when(joined & ~thirds, "agreement_undecidable")
-        .when(n.isNull() | vp.isNull() | vn.isNull(), "agreement_undecidable").when(~agrees, "subject_verb_disagreement")
-    )
+    return let(F.struct(p.alias("p"), n.alias("n")), lambda q: judged(q["p"], q["n"]))
 
 
 def _endings(declension: str, cases: set[str], gender: str, number: str) -> list[str]:
@@ -246,15 +257,19 @@ def declension() -> Column:
     allowed = F.create_map(*[x for k, v in allowed_endings().items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
 
     def wrong(noun: Column) -> Column:
-        kids = _kids(noun)
+        known = told(noun["pos"].isin("NOUN", "PROPN") & noun["morph"]["Gender"].isNotNull() & noun["morph"]["Number"].isNotNull())
+        return F.when(known, let(_kids(noun), lambda kids: off(noun, kids))).otherwise(False)
+
+    def off(noun: Column, kids: Column) -> Column:
         held = F.filter(kids, lambda c: told((c["dep"] == "nk") & c["tag"].isin(DETERMINERS)))
-        key = F.when(F.size(held) == 0, "-").when(F.size(held) == 1, determiner_key(F.get(held, F.lit(0))))
-        endings = F.element_at(allowed, F.concat_ws("|", key, noun["morph"]["Gender"], noun["morph"]["Number"]))
+        key = let(held, lambda h: F.when(F.size(h) == 0, "-").when(F.size(h) == 1, determiner_key(F.get(h, F.lit(0)))))
+        endings = let(key, lambda k: F.when(k.isNotNull(), F.element_at(allowed, F.concat_ws("|", k, noun["morph"]["Gender"], noun["morph"]["Number"]))))
         ending = lambda a: F.regexp_extract(a["low"], f"^.+?({'|'.join(ADJECTIVE_ENDINGS)})$", 1)
         # forms of places, "Berliner", never change
         place = lambda a: (a["i"] > 0) & a["text"].rlike(r"^\p{Lu}") & (ending(a) == "er")
-        off = _some(kids, lambda a: (a["dep"] == "nk") & (a["tag"] == "ADJA") & ~place(a) & (ending(a) != "") & ~F.array_contains(endings, ending(a)))
-        return told(noun["pos"].isin("NOUN", "PROPN") & key.isNotNull() & noun["morph"]["Gender"].isNotNull() & noun["morph"]["Number"].isNotNull() & endings.isNotNull()) & off
+        adjectives = F.filter(kids, lambda a: told((a["dep"] == "nk") & (a["tag"] == "ADJA") & ~place(a) & (ending(a) != "")))
+        wrong_in = lambda e, held: e.isNotNull() & _some(held, lambda a: ~F.array_contains(e, ending(a)))
+        return let(adjectives, lambda held: F.when(F.size(held) > 0, let(endings, lambda e: wrong_in(e, held))).otherwise(False))
 
     return F.exists("t", wrong)
 
@@ -266,16 +281,13 @@ def _dass(x: Column) -> Column:
 def dass_without_object() -> Column:
     """A clause with "dass" whose verb needs an object and has none: the relative "das" misspelt. The verb is found under up to four auxiliaries."""
 
-    def below(x: Column) -> Column:
-        held = F.filter(_kids(x), lambda c: told((c["dep"] == "oc") & c["pos"].isin("VERB", "AUX")))
-        return F.when(F.size(held) == 1, F.get(held, F.lit(0))["i"]).otherwise(x["i"])
-
-    step = F.transform("t", below)
-    four = F.transform(step, lambda i: F.get(step, F.get(step, F.get(step, i))))
+    def below(at: Column) -> Column:
+        held = children(at, lambda c: told((c["dep"] == "oc") & c["pos"].isin("VERB", "AUX")))
+        return let(held, lambda h: F.when(F.size(h) == 1, F.get(h, F.lit(0))["i"]).otherwise(_at(at)["i"]))
 
     def wrong(x: Column) -> Column:
-        verb = _at(F.get(four, x["head"]))
-        return _dass(x) & _finite(_at(x["head"])) & told(verb["lemma"].isin(NEED_OBJECTS)) & ~_some(_kids(verb), lambda c: c["dep"].isin("svp", "oa", "oa2"))
+        lacks = lambda verb: told(verb["lemma"].isin(NEED_OBJECTS)) & ~_some(_kids(verb), lambda c: c["dep"].isin("svp", "oa", "oa2"))
+        return F.when(_dass(x) & _finite(_at(x["head"])), let(_at(_walked(x["head"], 4, below)), lacks)).otherwise(False)
 
     return F.exists("t", wrong)
 
@@ -290,7 +302,7 @@ def dass_after_action() -> Column:
         sound = told(verb["pos"].isin("VERB", "AUX") & (up["i"] != verb["i"]) & over["pos"].isin("VERB", "AUX") & (over["i"] != verb["i"]))
         particles = F.transform(F.filter(_kids(over), lambda c: told(c["dep"] == "svp")), lambda c: c["low"])
         bad = F.when(over["lemma"] == "laden", particles == F.array(F.lit("herunter"))).otherwise(over["lemma"].isin(TAKE_NO_DASS) & (F.size(particles) == 0))
-        return _dass(x) & sound & told(bad)
+        return F.when(_dass(x), sound & told(bad)).otherwise(False)
 
     return F.exists("t", wrong)
 
@@ -323,11 +335,11 @@ def validated(parsed: DataFrame, dictionary: DataFrame | None = None) -> DataFra
 
     ``parsed`` is ``(source, line_id, text, tokens)``, one row for each source and line; ``dictionary(word)`` has words in normal form, and without one
     every word is real. A sentence without text is ``empty_sentence``; one without tokens is too short. Morphology that is missing makes a
-    verb undecidable and leaves nouns alone. Work grows with the square of a sentence's length; only words are shuffled, and only of sentences that no
-    rule before the dictionary rejects.
+    verb undecidable and leaves nouns alone. Work grows with the square of a sentence's length; only different rows of words are shuffled, and only of
+    sentences that no rule before the dictionary rejects. Sentences stay where they are unless more than ``BROADCAST_ASKED`` such rows are no words.
     """
     x = F.trim(F.coalesce("text", F.lit("")))
-    p = _with_kids(parsed.select("source", "line_id", x.alias("text"), "tokens"))
+    p = _with_tokens(parsed.select("source", "line_id", x.alias("text"), "tokens"))
     verbs = F.filter("t", _finite)
     wrong = F.filter(F.transform(verbs, agreement), lambda r: r.isNotNull())
     early = (
@@ -346,12 +358,18 @@ def validated(parsed: DataFrame, dictionary: DataFrame | None = None) -> DataFra
     if dictionary is None:
         return p.select("source", "line_id", "text", F.coalesce("early", "late").alias("reason"))
     p = stored(p)
-    words = p.select("source", "line_id", F.posexplode("asked").alias("n", "a")).select("source", "line_id", "n", "a.rule", F.explode("a.words").alias("word"))
+    # what a sentence asks for hangs on its forms only: each different row of them is looked up once
+    rows = p.where(F.size("asked") > 0).select("asked").distinct()
+    words = rows.select("asked", F.posexplode("asked").alias("n", "a")).select("asked", "n", "a.rule", F.explode("a.words").alias("word"))
     real = dictionary.select("word", F.lit(True).alias("real")).distinct()
-    unreal = words.join(real, "word", "left").groupBy("source", "line_id", "n", "rule").agg(F.max("real").alias("real")).where("real is null")
-    unreal = unreal.groupBy("source", "line_id").agg(F.min("rule").alias("rule"))
+    unreal = words.join(real, "word", "left").groupBy("asked", "n", "rule").agg(F.max("real").alias("real")).where("real is null")
+    unreal = stored(unreal.groupBy("asked").agg(F.min("rule").alias("rule")))
     unreal_reason = F.when(F.col("rule") == 0, "finite_verb_not_a_real_word").when(F.col("rule") == 1, "content_word_not_a_real_word")
-    return p.join(unreal, ["source", "line_id"], "left").select("source", "line_id", "text", F.coalesce("early", unreal_reason, "late").alias("reason"))
+    told_of = lambda held: held.select("source", "line_id", "text", F.coalesce("early", unreal_reason, "late").alias("reason"))
+    if unreal.count() <= BROADCAST_ASKED:
+        return told_of(p.join(F.broadcast(unreal), "asked", "left"))
+    asks = told(F.size("asked") > 0)
+    return told_of(p.where(asks).join(unreal, "asked", "left")).unionByName(told_of(p.where(~asks).withColumn("rule", F.lit(None).cast("int"))))
 
 
 def reason_counts(validated: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.operators import carriers
+from lexspark.operators import carriers, trees
 from lexspark.plans.corpus_queries import shape_sql
 from lexspark.plans.tables import read
 
@@ -73,21 +73,23 @@ def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = words.select("source", "doc_id", F.posexplode(F.filter("w", lambda _, i: i % LENGTH == 0)).alias("k", "w"))
     runs = runs.select("source", F.concat_ws("#", "doc_id", "k").alias("line_id"), "w")
     digits = lambda h, at: F.conv(F.substring(h, at, 2), 16, 10).cast("int")
-    runs = runs.withColumn("s", F.get(held, digits(F.md5("line_id"), 1) % len(SENTENCES)))
+    runs = runs.withColumn("own", F.initcap("w"))
 
-    def token(x, i):
-        h = F.md5(F.concat_ws(":", "line_id", i.cast("string")))
-        change, own = digits(h, 1) % 32, F.initcap("w")
-        n, number = F.size("s"), x["morph"]["Number"]
+    def filled(x, i, n, h, change):
+        number = x["morph"]["Number"]
         flipped = F.when(number == "Sing", "Plur").otherwise("Sing")
         morph = F.when((change == 0) & number.isNotNull(), F.map_from_entries(F.transform(F.map_entries(x["morph"]), lambda e: F.struct(e["key"], F.when(e["key"] == "Number", flipped).otherwise(e["value"])))))
         return F.struct(
-            i.cast("int").alias("i"), F.when(x["text"] == "*", own).otherwise(x["text"]).alias("text"), F.when(x["lemma"] == "*", own).otherwise(x["lemma"]).alias("lemma"), x["pos"].alias("pos"),
+            i.cast("int").alias("i"), F.when(x["text"] == "*", F.col("own")).otherwise(x["text"]).alias("text"), F.when(x["lemma"] == "*", F.col("own")).otherwise(x["lemma"]).alias("lemma"), x["pos"].alias("pos"),
             F.when((change == 1) & (x["tag"] == "VVFIN"), "VVPP").otherwise(x["tag"]).alias("tag"), x["dep"].alias("dep"),
             F.when(change.isin(2, 3), digits(h, 3) % n).otherwise(x["head"]).cast("int").alias("head"), F.coalesce(morph, x["morph"]).alias("morph"),
         )
 
-    runs = runs.withColumn("tokens", F.transform("s", token))
+    def token(x, i, n):
+        return trees.let(F.md5(F.concat_ws(":", "line_id", i.cast("string"))), lambda h: trees.let(digits(h, 1) % 32, lambda change: filled(x, i, n, h, change)))
+
+    sentence = F.get(held, digits(F.md5("line_id"), 1) % len(SENTENCES))
+    runs = runs.withColumn("tokens", trees.let(sentence, lambda s: trees.let(F.size(s), lambda n: F.transform(s, lambda x, i: token(x, i, n)))))
     return runs.select("source", "line_id", F.array_join(F.transform("tokens", lambda x: x["text"]), " ").alias("text"), "tokens")
 
 

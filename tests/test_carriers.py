@@ -80,3 +80,17 @@ def test_shape_of_names_and_numbers(spark):
     }
     held = spark.createDataFrame([(k,) for k in cases], "text string").select("text", shape_reason(F.col("text")).alias("reason"))
     assert {r["text"]: r["reason"] for r in held.collect()} == cases
+
+
+def test_words_are_looked_up_once_for_equal_rows(spark, monkeypatch):
+    """Sentences stay where they are: rows of words that are asked for are told apart, looked up and broadcast; many of them are joined by a shuffle with the same result."""
+    written = []
+    keep = carriers.stored
+    monkeypatch.setattr(carriers, "stored", lambda df: written.append(keep(df)) or written[-1])
+    unreal = "Ich ich PRON PPER sb 1 PronType=Prs|Person=1|Number=Sing/quaxle quaxlen VERB VVFIN ROOT 1 Mood=Ind|Tense=Pres|Person=1|Number=Sing/heute heute ADV ADV mo 1/. -- PUNCT $. punct 1"
+    rows = [row(str(i), unreal) for i in range(3)]
+    got = reasons(spark, rows)
+    assert set(got.values()) == {"finite_verb_not_a_real_word"} and len(got) == 3
+    assert written[1].columns == ["asked", "rule"] and written[1].count() == 1
+    monkeypatch.setattr(carriers, "BROADCAST_ASKED", -1)
+    assert reasons(spark, rows) == got
