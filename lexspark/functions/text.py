@@ -59,7 +59,7 @@ def sentences_of(x: Column) -> Column:
 def plausible(x: Column) -> Column:
     """Whether a sentence can stand alone: 25-160 characters, 5-18 words, closed by a mark, no markup."""
     words = F.size(F.split(F.trim(x), r"\s+"))
-    return F.length(x).between(25, 160) & x.rlike("[.!?]$") & words.between(5, 18) & ~x.rlike(r"[|<>\[\]{}\t]")
+    return F.length(x).between(25, 160) & x.rlike("[.!?]$") & words.isin(*range(5, 19)) & ~x.rlike(r"[|<>\[\]{}\t]")  # unlike between, isin splits once
 
 
 # Words whose double s is theirs in any spelling, and Swiss spellings; those of "groß" and "weiß" are names with a capital
@@ -70,6 +70,8 @@ SWISS_STEM = "^(?:strasse.*|fuss(?:es)?|füsse.*|mass(?:es)?|spass(?:es)?)$"
 SWISS_NUMBER = r"[0-9]['’][0-9]{3}(?:[^0-9]|$)"
 #: A double quotation mark, the first of the text, that closes what was not opened.
 MID_QUOTATION = r"^[^\"„“”«»]*[^\s(\[{<\"„“”«»][\"“”«](?:[^\p{L}\p{N}]|$)"
+#: The same for Java alone, which gives back nothing of the run.
+FIRST_QUOTATION = r"^[^\"„“”«»]*+(?<=[^\s(\[{<\"„“”«»])[\"“”«](?:[^\p{L}\p{N}]|$)"
 TERMINAL = r"[.!?…]['\"”’)]*\s*$"
 
 
@@ -79,9 +81,16 @@ def swiss_spelling(x: Column) -> Column:
     def word(w: Column) -> Column:
         low = F.lower(w)
         diphthong = low.rlike("(?:ei|eu|äu|ie)ss") & ~low.isin(*OWN_DOUBLE_S) & ~(low.startswith("weiss") & (w != low))
-        return low.isin(*SWISS) | w.isin(*SWISS_SMALL) | low.rlike(SWISS_STEM) | diphthong
+        return F.contains(low, F.lit("ss")) & (low.isin(*SWISS) | w.isin(*SWISS_SMALL) | low.rlike(SWISS_STEM) | diphthong)  # all of these have ss
 
-    return F.exists(F.regexp_extract_all(x, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), word) | x.rlike(SWISS_NUMBER)
+    words = F.exists(F.regexp_extract_all(x, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), word)
+    return (F.contains(F.lower(x), F.lit("ss")) & words) | ((F.contains(x, F.lit("'")) | F.contains(x, F.lit("’"))) & x.rlike(SWISS_NUMBER))
+
+
+def opens_mid_quotation(x: Column) -> Column:
+    """``MID_QUOTATION`` without trying every place: texts without a closing mark are left out, and the first mark ends the one run before it."""
+    closes = F.contains(x, F.lit('"')) | F.contains(x, F.lit("“")) | F.contains(x, F.lit("”")) | F.contains(x, F.lit("«"))
+    return closes & x.rlike(FIRST_QUOTATION)
 
 
 def shape_reason(x: Column) -> Column:
@@ -90,7 +99,7 @@ def shape_reason(x: Column) -> Column:
         F.when(~F.regexp_extract(x, r"\p{L}", 0).rlike(r"^(?:\p{Lu}|$)"), "not_capitalized")
         .when(~x.rlike(TERMINAL), "no_terminal_punctuation")
         .when(swiss_spelling(x), "swiss_spelling")
-        .when(x.rlike(MID_QUOTATION), "opens_mid_quotation")
+        .when(opens_mid_quotation(x), "opens_mid_quotation")
     )
 
 
