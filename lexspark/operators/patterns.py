@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as X
+from lexspark.storage import stored
 
 
 def _reach(words: Column, pattern: Column, gap: Column, start: Column) -> Column:
@@ -37,7 +38,8 @@ def pattern_hits(lines: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def longest_hits(hits: DataFrame) -> DataFrame:
-    """Hits that do not lie inside a longer one of the same sentence."""
+    """Hits that do not lie inside a longer one of the same sentence. They are stored, being looked at three times."""
+    hits = stored(hits)
     a = hits.select("line_id", F.col("key").alias("outer"), F.col("places").alias("around"))
     inside = hits.join(a, "line_id").where((F.size("around") > F.size("places")) & (F.size(F.array_except("places", "around")) == 0))
     return hits.join(inside.select("key", "line_id").distinct(), ["key", "line_id"], "left_anti")
