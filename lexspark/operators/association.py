@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import statistics as S
 from lexspark.functions import text as X
+from lexspark.storage import stored
 
 
 def word_sentences(lines: DataFrame) -> DataFrame:
@@ -19,10 +20,10 @@ def pair_association(lines: DataFrame, floor: int = 5) -> DataFrame:
     """``(a, b, pair, n_a, n_b, total, g2, lift)`` of neighbouring words, counted in sentences.
 
     A pair counts once a sentence, and so do its words. Pairs below ``floor`` go before the two
-    lookups of marginals.
+    lookups of marginals. Words are stored, since pairs, single words and the total all need them.
     """
-    each = lines.select(X.letter_tokens(F.col("text")).alias("t"))
-    total = lines.agg(F.count("*").alias("total"))
+    each = stored(lines.select(X.letter_tokens(F.col("text")).alias("t")))
+    total = each.agg(F.count("*").alias("total"))
     single = each.select(F.explode(F.array_distinct("t")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     neighbours = F.array_distinct(F.transform(F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))), lambda w, i: F.struct(w.alias("a"), F.get(F.col("t"), i + 1).alias("b"))))
     pairs = each.select(F.explode(neighbours).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("pair")).where(F.col("pair") >= floor)
