@@ -65,6 +65,21 @@ def declined(stems: DataFrame) -> DataFrame:
     return held.select("lemma", F.concat("lemma", "ending").alias("form"), "declension", "case", "gender", "number")
 
 
+def adjective_forms(stems: DataFrame) -> DataFrame:
+    """``(lemma, form, cells, strong, first_case)``: ``declined`` with one row for each form: how many cells it fills, how many of them are strong, the first case.
+
+    What an ending fills is the same for all adjectives, so it is counted here and not after a row for each cell has been shuffled.
+    """
+    filled: dict[str, list[tuple[str, str]]] = {}
+    for declension, table in ADJECTIVE.items():
+        for ending, case, *_ in cells(table):
+            filled.setdefault(ending, []).append((declension, case))
+    long = lambda n: F.lit(n).cast("long")
+    rows = [F.struct(F.lit(e).alias("ending"), long(len(x)).alias("cells"), long(sum(d == "strong" for d, _ in x)).alias("strong"), F.lit(min(c for _, c in x)).alias("first_case")) for e, x in filled.items()]
+    held = stems.select("lemma").where("lemma is not null").distinct().select("lemma", F.inline(F.array(*rows)))
+    return held.select("lemma", F.concat("lemma", "ending").alias("form"), "cells", "strong", "first_case")
+
+
 def weak_stem(lemma: Column) -> Column:
     """An infinitive without its ending, null for what is none."""
     n = F.length(lemma)

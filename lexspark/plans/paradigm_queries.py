@@ -30,8 +30,8 @@ def closed_class_readings(spark: SparkSession, d: str) -> DataFrame:
 def adjective_readings(spark: SparkSession, d: str) -> DataFrame:
     """For each word that is another word with an adjective's ending: that word, and the cells that the form can fill."""
     words = stored(_words(spark, d).where("length(word) >= 3"))
-    forms = P.declined(words.withColumnRenamed("word", "lemma"))
-    return forms.join(words.withColumnRenamed("word", "form"), "form", "left_semi").groupBy("form", "lemma").agg(F.count("*").alias("cells"), F.count_if(F.col("declension") == "strong").alias("strong"), F.min("case").alias("first_case"))
+    forms = P.adjective_forms(words.withColumnRenamed("word", "lemma"))
+    return forms.join(words.withColumnRenamed("word", "form"), "form", "left_semi").select("form", "lemma", "cells", "strong", "first_case")
 
 
 def weak_verb_readings(spark: SparkSession, d: str) -> DataFrame:
