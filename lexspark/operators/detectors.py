@@ -10,6 +10,8 @@ Occurrences are ``(kind, unit_key, parts, tokens, source, line_id, text, form_ke
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -332,6 +334,48 @@ def role_counts(trees: DataFrame, dictionary: DataFrame | None = None) -> DataFr
 DETECTORS = {f.__name__: f for f in (verb_prep, reflexive_verb, separable_verb, noun_verb, adj_noun, adj_verb, single_words)}
 
 
+def _some(head: Column, fits: Callable[[Column, Column], Column]) -> Column:
+    """Whether any place fits, by its head and itself."""
+    return F.size(F.filter(head, lambda h, i: told(fits(h, i)))) > 0
+
+
+def _heads(head: Column, of: Callable[[Column], Column]) -> Column:
+    return F.filter(head, lambda h, i: told(of(i) & (h != i)))
+
+
+def _under_verb(pos: Column, dep: Column, head: Column, fits: Callable[[Column, Column], Column]) -> Column:
+    """Whether a place that fits may have a lexical verb: its head is one or has a clausal object."""
+    clauses = _heads(head, lambda i: (F.get(dep, i) == "oc") & (F.get(pos, i) == "VERB"))
+    return let(clauses, lambda over: _some(head, lambda h, i: fits(h, i) & ((F.get(pos, h) == "VERB") | F.array_contains(over, h))))
+
+
+def _may_verb_prep(pos: Column, dep: Column, head: Column) -> Column:
+    nouns = _heads(head, lambda i: F.get(dep, i) == "nk")
+    return let(nouns, lambda led: _under_verb(pos, dep, head, lambda _, i: (F.get(pos, i) == "ADP") & F.get(dep, i).isin("op", "mo") & F.array_contains(led, i)))
+
+
+def _may_noun_verb(pos: Column, dep: Column, head: Column) -> Column:
+    noun = lambda i: (F.get(pos, i) == "NOUN") & F.get(dep, i).isin("oa", "da")
+    owned = _some(head, lambda h, i: noun(i) & (F.get(pos, h) == "AUX"))
+    return owned | _under_verb(pos, dep, head, lambda _, i: noun(i) | ((F.get(pos, i) == "ADP") & (F.get(dep, i) == "cvc")))
+
+
+def _may_adj_noun(pos: Column, dep: Column, head: Column) -> Column:
+    return _some(head, lambda h, i: (F.get(pos, i) == "ADJ") & (F.get(dep, i) == "nk") & (F.get(pos, h) == "NOUN"))
+
+
+def _may_reflexive_verb(pos: Column, dep: Column, head: Column) -> Column:
+    return _under_verb(pos, dep, head, lambda _, i: (F.get(pos, i) == "PRON") & F.get(dep, i).isin("oa", "da", "mo"))
+
+
+def _may_adj_verb(pos: Column, dep: Column, head: Column) -> Column:
+    return _under_verb(pos, dep, head, lambda _, i: F.get(pos, i).isin("ADJ", "ADV") & F.get(dep, i).isin("pd", "oc", "mo"))
+
+
+#: What parts of speech, labels and heads (arrays over a sentence's places) rule out: false only where a detector finds nothing, so that such sentences need no tokens. Other detectors look at most sentences.
+SIEVES = {"verb_prep": _may_verb_prep, "noun_verb": _may_noun_verb, "adj_noun": _may_adj_noun, "reflexive_verb": _may_reflexive_verb, "adj_verb": _may_adj_verb}
+
+
 def detected(parsed: DataFrame, dictionary: DataFrame | None = None, kinds: tuple[str, ...] = tuple(DETECTORS)) -> DataFrame:
     """Occurrences of all ``kinds`` in parsed sentences."""
     candidates = [DETECTORS[kind]() for kind in kinds]
