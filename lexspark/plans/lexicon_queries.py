@@ -48,7 +48,9 @@ def ceiling_checks(spark: SparkSession, d: str) -> DataFrame:
 def words_within(spark: SparkSession, d: str) -> DataFrame:
     """How often each word is within the ceiling and above it; a separated prefix can make the difference."""
     held, facts = _tables(spark, d)
-    return L.within_ceiling(L.sentence_words(held), facts, CEILING).groupBy("word").agg(F.count_if("within").alias("within"), F.count_if(~F.col("within")).alias("above"))
+    words = L.sentence_words(held).groupBy("word", "prefixes").agg(F.count("*").alias("n"))  # all that decides, so that equal words meet their facts once
+    told = L.within_ceiling(words, facts, CEILING)
+    return told.groupBy("word").agg(F.sum(F.when(F.col("within"), F.col("n")).otherwise(0)).alias("within"), F.sum(F.when(F.col("within"), 0).otherwise(F.col("n"))).alias("above"))
 
 
 QUERIES = {f.__name__: f for f in (lemma_candidates, word_levels, ceiling_checks, words_within)}
