@@ -142,7 +142,7 @@ def sentence_words(lines: DataFrame) -> DataFrame:
 def _easiest(words: DataFrame, facts: DataFrame) -> DataFrame:
     """Sentence words with their facts and ``own``, the easiest level of any reading here, null for none."""
     held = words.join(_broadcast(facts), "word", "left")
-    apart = F.array_min(F.filter(F.transform("prefixes", lambda p: F.col("with_prefix")[p]), lambda x: x.isNotNull()))
+    apart = F.when(F.col("with_prefix").isNotNull() & (F.size("prefixes") > 0), F.array_min(F.filter(F.transform("prefixes", lambda p: F.col("with_prefix")[p]), lambda x: x.isNotNull())))  # few words make verbs with prefixes
     return held.withColumn("own", F.coalesce(F.least("easiest", apart), F.col("compound")))
 
 
