@@ -10,13 +10,14 @@ Occurrences are ``(kind, unit_key, parts, tokens, source, line_id, text, form_ke
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions.text import normalise
-from lexspark.operators.trees import INSEPARABLE, PREFIXES, REFLEXIVES, children, finite_at, form_key, is_word, let, particle_at, reflexive_at, reported, subject_at, told, verb_of, with_tokens
+from lexspark.operators.trees import INSEPARABLE, PREFIXES, REFLEXIVES, children, finite_at, form_key, is_word, let, particle_at, particles, reflexive_at, reported, subject_at, told, verb_of, with_tokens
 from lexspark.storage import stored
 
 #: Pairs of a verb's lemma and particle that are broadcast; beyond that they are joined by a shuffle.
@@ -56,6 +57,8 @@ GRAMMAR_ADVERBS = (
     "da dann so auch nur noch schon mehr nicht ja nein doch denn mal man halt etwa her hin heraus herein hinaus wo wann wie warum weshalb wieso woher wohin darum daher "
     "deshalb deswegen dabei dadurch dafür dagegen damit danach daran darauf daraus darin davon davor dazu hierbei hierfür worauf worum womit wovon wobei wodurch"
 ).split()
+#: Parts of speech of single words.
+WORDS = ["NOUN", "VERB", "ADJ", "ADV"]
 REPAIRS = {"eren": "ern", "elen": "eln"}
 
 _NO_TOKENS = "array<struct<i:int,start:int,end:int,text:string>>"
@@ -212,26 +215,59 @@ def adj_verb() -> Column:
     return F.transform(held, lambda s: _found("adj_verb", [s["x"]["lem"]], [], s["v"], [s["x"]], dep=s["x"]["dep"], adj=s["x"]["lem"]))
 
 
-def single_words() -> Column:
-    """Nouns, verbs, and adjectives with adverbs (one kind, since taggers mix them up); separable verbs and particles are none."""
-    fits = lambda x: is_word(x["text"]) & F.when(x["pos"] == "NOUN", ~x["lem"].isin(STOP_NOUNS) & (F.length(x["lem"]) >= 3)).when(x["pos"] == "VERB", True).when(
-        x["pos"].isin("ADJ", "ADV"), _plain_degree(x) & (x["dep"] != "svp") & (F.length(x["lem"]) >= 3) & ~x["lem"].isin(STOP_ADJECTIVES + GRAMMAR_ADVERBS)
-    )
+def _reported() -> Column:
+    return F.exists("t", lambda x: x["pos"].isin("VERB", "AUX") & reported(x))
 
-    none = F.lit(None).cast("string")
 
-    def one(x: Column) -> Column:
-        noun = _found("noun", [x["lem"]], [], None, [x], form=_case_number(x), surface=x["text"], gender=F.coalesce(x["morph"]["Gender"], F.lit("")), pos=none)
-        adjective = _found("adjective", [x["lem"]], [], None, [x], form=F.when(x["pos"] == "ADJ", _case_number(x)).otherwise("adv"), surface=x["text"], gender=none, pos=x["pos"])
-        verb = _found("verb", [], [], x["i"], [], fused=told(_fusable(x)), surface=x["text"], gender=none, pos=none)
-        return F.when(x["pos"] == "NOUN", noun).when(x["pos"] == "VERB", verb).otherwise(adjective)
+def word_tokens(parsed: DataFrame) -> DataFrame:
+    """``(source, line_id, text, x, reported, particles)``: one row for each token ``x`` of parsed sentences, with what their single words need to know of the sentence."""
+    held = with_tokens(parsed).select("source", "line_id", "text", "t", _reported().alias("reported"), particles().alias("particles"))
+    return held.select("source", "line_id", "text", "reported", "particles", F.explode_outer("t").alias("x")).where("x is not null")
+
+
+def word_candidates(tokens: DataFrame) -> DataFrame:
+    """Nouns, verbs, adjectives and adverbs among ``word_tokens``, one flat row each: ``(word, pos, particle, needs, fusable, i, start, surface, form_key, gender, reported)`` and the columns of ``tokens`` that say where they are.
+
+    Whether a verb is kept, and as which word, hangs on ``word``, ``particle``, ``needs`` and ``fusable`` alone. Rows are kept narrow, since they are sorted or stored: what follows from other columns is added at the end.
+    """
+    x = F.col("x")
+    pos, verb = x["pos"], x["pos"] == "VERB"
+    p = F.get(F.filter("particles", lambda e: e["at"] == x["i"]), F.lit(0))["p"]
+    fits = F.when(pos == "NOUN", ~x["lem"].isin(STOP_NOUNS) & (F.length(x["lem"]) >= 3)).when(verb, True).when(
+        pos.isin("ADJ", "ADV"), _plain_degree(x) & (x["dep"] != "svp") & (F.length(x["lem"]) >= 3) & ~x["lem"].isin(STOP_ADJECTIVES + GRAMMAR_ADVERBS)
+    )
+    return tokens.where(pos.isin(WORDS) & told(fits) & is_word(x["text"])).select(
+        *[c for c in tokens.columns if c not in {"x", "particles", "reported"}], x["lem"].alias("word"), pos.alias("pos"),
+        F.when(verb, F.coalesce(p["low"], F.lit(""))).otherwise("").alias("particle"), (verb & told(p["needs"])).alias("needs"), (verb & told(_fusable(x))).alias("fusable"), x["i"].cast("int").alias("i"), x["idx"].cast("int").alias("start"),
+        x["text"].alias("surface"), F.when(verb, form_key(x)).when(pos == "ADV", "adv").otherwise(_case_number(x)).alias("form_key"), F.when(pos == "NOUN", F.coalesce(x["morph"]["Gender"], F.lit(""))).alias("gender"), "reported",
+    )
 
-    return F.transform(F.filter("t", lambda x: told(fits(x))), one)
+
+def settled_words(candidates: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+    """``word_candidates``, which should be stored, with ``kind``, ``unit_key`` and ``end``; adjectives and adverbs are one kind, since taggers mix them up. Verbs that are no word, separable verbs and particles are left out."""
+    verb = F.col("pos") == "VERB"
+    facts = _facts(candidates.where(verb).select(F.col("word").alias("lemma"), "particle"), dictionary)
+    c = candidates.withColumn("lemma", F.when(verb, F.col("word"))).join(facts, ["lemma", "particle"], "left")
+    apart = (F.col("particle") != "") & (~F.col("needs") | F.col("fuses"))
+    base = F.when(~told(apart) & ~(F.col("fusable") & told(F.col("fused"))), F.nullif(F.col("base"), F.lit("")))
+    c = c.withColumn("unit_key", F.when(verb, base).otherwise(F.col("word"))).where("unit_key is not null")
+    kept = [k for k in candidates.columns if k not in {"word", "pos", "particle", "needs", "fusable"}]
+    kind = F.when(verb, "verb").when(F.col("pos") == "NOUN", "noun").otherwise("adjective")
+    return c.select(kind.alias("kind"), "unit_key", *kept, (F.col("start") + F.length("surface")).alias("end"), F.when(kind == "adjective", F.col("pos")).alias("pos"))
+
+
+def single_words(parsed: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+    """Single words of parsed sentences as occurrences."""
+    held = settled_words(stored(word_candidates(word_tokens(parsed))), dictionary)
+    evidence = F.create_map(*[c for k in ("surface", "gender", "pos") for c in (F.lit(k), F.col(k))], F.lit("k1_sentence"), F.when(F.col("reported"), "true"))
+    return held.select(
+        "kind", "unit_key", F.array("unit_key").alias("parts"), F.array(F.struct("i", "start", "end", F.col("surface").alias("text"))).alias("tokens"), "source", "line_id", "text", "form_key", F.lit(None).cast("string").alias("case"),
+        F.map_filter(evidence, lambda _, v: v.isNotNull()).alias("evidence"),
+    )
 
 
 def _exploded(tokens: DataFrame, candidates: Column) -> DataFrame:
-    marked = F.exists("t", lambda x: x["pos"].isin("VERB", "AUX") & reported(x))
-    return tokens.select("source", "line_id", "text", marked.alias("reported"), F.inline(candidates))
+    return tokens.select("source", "line_id", "text", _reported().alias("reported"), F.inline(candidates))
 
 
 def verb_facts(pairs: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
@@ -267,23 +303,25 @@ def verb_facts(pairs: DataFrame, dictionary: DataFrame | None = None) -> DataFra
     return held.select("lemma", "particle", base.otherwise("").alias("base"), known(F.concat("particle", "lemma")).alias("fuses"), fused.otherwise(False).alias("fused"))
 
 
+def _facts(verbs: DataFrame, dictionary: DataFrame | None) -> DataFrame:
+    facts = stored(verb_facts(verbs, dictionary))
+    return F.broadcast(facts) if facts.count() <= BROADCAST_VERBS else facts
+
+
 def occurrences(candidates: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
-    """Candidates of any detector with their verbs settled: occurrences. Those whose verb is no word are left out."""
+    """Candidates of any detector but ``single_words`` with their verbs settled: occurrences. Those whose verb is no word are left out."""
     candidates = stored(candidates)
-    facts = stored(verb_facts(candidates.where("verbal"), dictionary))
-    if facts.count() <= BROADCAST_VERBS:
-        facts = F.broadcast(facts)
-    c = candidates.join(facts, ["lemma", "particle"], "left")
+    c = candidates.join(_facts(candidates.where("verbal"), dictionary), ["lemma", "particle"], "left")
     apart = (F.col("particle") != "") & (~F.col("needs") | F.col("fuses")) & ~F.col("plain")
     c = c.withColumn("apart", told(apart))
     stem = F.when(F.col("plain"), F.col("lemma")).otherwise(F.nullif(F.col("base"), F.lit("")))
     verb = F.concat(F.when(F.col("apart"), F.col("particle")).otherwise(""), stem)
-    separable, word = F.col("kind") == "separable_verb", F.col("kind") == "verb"
-    verb = F.when(separable & ~F.col("apart"), F.when(F.col("fusable") & F.col("fused"), F.col("lemma"))).when(word & (F.col("apart") | (F.col("fusable") & F.col("fused"))), F.lit(None)).otherwise(verb)
+    separable = F.col("kind") == "separable_verb"
+    verb = F.when(separable & ~F.col("apart"), F.when(F.col("fusable") & F.col("fused"), F.col("lemma"))).otherwise(verb)
     c = c.withColumn("key", verb).where(~F.col("verbal") | F.col("key").isNotNull())
     own = F.when(F.col("verbal"), F.array("key")).otherwise(F.array().cast("array<string>"))
     parts = F.concat("lead", own, "tail")
-    tokens = F.array_sort(F.when(F.col("apart") & ~word, F.concat("tokens", F.array("particle_token"))).otherwise(F.col("tokens")))
+    tokens = F.array_sort(F.when(F.col("apart"), F.concat("tokens", F.array("particle_token"))).otherwise(F.col("tokens")))
     form = F.when(separable, F.concat_ws("|", "form_key", F.when(F.col("apart"), F.lit("discontinuous")).otherwise("fused"))).otherwise(F.col("form_key"))
     added = F.map_from_arrays(
         F.array(*[F.lit(k) for k in ("verb", "particle", "fused", "k1_sentence")]),
@@ -294,20 +332,30 @@ def occurrences(candidates: DataFrame, dictionary: DataFrame | None = None) -> D
     return c.select("kind", key.alias("unit_key"), parts.alias("parts"), tokens.alias("tokens"), "source", "line_id", "text", form.alias("form_key"), "case", evidence.alias("evidence"))
 
 
-def word_occurrences(words: DataFrame, lemmas: DataFrame, glossed: DataFrame, cap: int = 12, order: tuple[str, ...] = ("line_id",)) -> DataFrame:
+def first_candidates(candidates: DataFrame, cap: int, order: tuple[str, ...] = ("line_id",), by: tuple[str, ...] = ()) -> DataFrame:
+    """The first ``cap`` of ``word_candidates`` of each source (and what ``by`` says) that come to the same word or to none, stored.
+
+    Whatever the facts about verbs, the first ``cap`` occurrences of a word and source are among them, so that facts are asked for these few.
+    Each task drops what is beyond ``cap`` there before it sends anything.
+    """
+    alike = Window.partitionBy("word", "source", "pos", "particle", "needs", "fusable", *by).orderBy(*order, "i")
+    return stored(candidates.withColumn("n", F.row_number().over(alike)).where(F.col("n") <= cap).drop("n"))
+
+
+def word_occurrences(words: DataFrame, lemmas: DataFrame, glossed: DataFrame | None, cap: int = 12, order: tuple[str, ...] = ("line_id",)) -> DataFrame:
     """Occurrences of single words that may become units: known lemmas in glossed sentences, the first ``cap`` of a word and source in ``order``.
 
-    ``lemmas(word)`` may write ss for sharp s. The first ones are kept task by task before they are sorted together, so a common word is no long sort.
+    ``words`` are occurrences or rows of ``settled_words``; without ``glossed(text)`` all their sentences are taken for glossed. ``lemmas(word)`` may write ss for sharp s.
+    The first ones are kept before known lemmas are looked up, which decide on all or none of them, so that few rows are sent.
     """
+    place = F.col("i") if "i" in words.columns else F.col("tokens")[0]["i"]
+    kept = words if glossed is None else words.join(glossed.select("text").distinct(), "text", "left_semi")
+    first = Window.partitionBy("unit_key", "kind", "source").orderBy(*[F.col(c) for c in order], place)
+    kept = stored(kept.withColumn("n", F.row_number().over(first)).where(F.col("n") <= cap).drop("n"))
     spelled = F.array_distinct(F.array("unit_key", F.replace("unit_key", F.lit("ß"), F.lit("ss"))))
-    asked = words.select("unit_key").distinct().select("unit_key", F.explode(spelled).alias("word"))
+    asked = kept.select("unit_key").distinct().select("unit_key", F.explode(spelled).alias("word"))
     known = asked.join(lemmas.select("word").distinct(), "word", "left_semi").select("unit_key").distinct()
-    kept = words.join(known, "unit_key", "left_semi").join(glossed.select("text").distinct(), "text", "left_semi")
-    place = [F.col(c) for c in order] + [F.col("tokens")[0]["i"]]
-    near = Window.partitionBy("kind", "unit_key", "source", "task").orderBy(*place)
-    kept = kept.withColumn("task", F.pmod(F.xxhash64("line_id"), F.lit(64))).withColumn("n", F.row_number().over(near)).where(F.col("n") <= cap)
-    first = Window.partitionBy("kind", "unit_key", "source").orderBy(*place)
-    return kept.withColumn("n", F.row_number().over(first)).where(F.col("n") <= cap).drop("task", "n")
+    return kept.join(known, "unit_key", "left_semi")
 
 
 def role_counts(trees: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
@@ -321,16 +369,14 @@ def role_counts(trees: DataFrame, dictionary: DataFrame | None = None) -> DataFr
     counted = F.filter("t", lambda x: x["pos"].isin("VERB", "NOUN", "ADJ", "ADV", "ADP") | ((x["pos"] == "AUX") & (x["lem"] == "haben")))
     row = trees.select("t", F.monotonically_increasing_id().alias("row")).select("row", F.inline(F.array_distinct(F.transform(counted, lambda x: let(particle(x), lambda p: pairs(x, p))))))
     row = stored(row)
-    facts = stored(verb_facts(row.where("role = 'verb' and not plain"), dictionary))
-    if facts.count() <= BROADCAST_VERBS:
-        facts = F.broadcast(facts)
-    held = row.join(facts, ["lemma", "particle"], "left")
+    held = row.join(_facts(row.where("role = 'verb' and not plain"), dictionary), ["lemma", "particle"], "left")
     apart = (F.col("particle") != "") & (~F.col("needs") | F.col("fuses"))
     stem = F.when(F.col("plain"), F.col("lemma")).otherwise(F.nullif(F.col("base"), F.lit("")))
     key = F.when(F.col("role") == "verb", F.concat(F.when(told(apart), F.col("particle")).otherwise(""), stem)).otherwise(F.col("lemma"))
     return held.select("row", "role", key.alias("lemma")).where("lemma is not null").distinct().groupBy("role", "lemma").agg(F.count("*").alias("sentences"))
 
 
+#: ``single_words`` needs no walk through a tree and goes by rows of tokens; the others are arrays over a sentence's tokens.
 DETECTORS = {f.__name__: f for f in (verb_prep, reflexive_verb, separable_verb, noun_verb, adj_noun, adj_verb, single_words)}
 
 
@@ -378,5 +424,8 @@ SIEVES = {"verb_prep": _may_verb_prep, "noun_verb": _may_noun_verb, "adj_noun":
 
 def detected(parsed: DataFrame, dictionary: DataFrame | None = None, kinds: tuple[str, ...] = tuple(DETECTORS)) -> DataFrame:
     """Occurrences of all ``kinds`` in parsed sentences."""
-    candidates = [DETECTORS[kind]() for kind in kinds]
-    return occurrences(_exploded(with_tokens(parsed), candidates[0] if len(candidates) == 1 else F.concat(*candidates)), dictionary)
+    found = [single_words(parsed, dictionary)] if "single_words" in kinds else []
+    candidates = [DETECTORS[kind]() for kind in kinds if kind != "single_words"]
+    if candidates:
+        found.append(occurrences(_exploded(with_tokens(parsed), candidates[0] if len(candidates) == 1 else F.concat(*candidates)), dictionary))
+    return functools.reduce(DataFrame.unionByName, found)

@@ -60,21 +60,41 @@ def children(at: Column, *rules: Callable[[Column], Column]) -> Column:
     return F.filter("t", fits)
 
 
+def separable(low: Column, apart: Column) -> tuple[Column, Column]:
+    """Whether a prefix is to be trusted, ``apart`` being what stands beside it or before it against that, and whether only if it makes a word with its verb."""
+    pronominal = F.lit(False)
+    for head in PRONOMINAL:
+        pronominal = pronominal | low.startswith(head)
+    return (low != "da") & ~apart, (pronominal & (low != "dazu")) | low.isin(ADVERB_PARTICLES) | ~low.isin(PREFIXES + PARTICLES)
+
+
+def stands_apart(before: Column, after: Column) -> Column:
+    """Whether the tokens beside a prefix show that it is none."""
+    return told(before["low"] == "und") | told(after["low"] == "und") | told(after["pos"].isin(AFTER_NO_PARTICLE_POS) | after["text"].isin(AFTER_NO_PARTICLE_TEXT))
+
+
+def _prefix(p: Column) -> Column:
+    of_von = (p["low"] == "aus") & F.exists("t", lambda x: (x["low"] == "von") & (x["pos"] == "ADP") & (x["i"] < p["i"]))
+    trusted, needs = separable(p["low"], stands_apart(F.get("t", p["i"] - 1), F.get("t", p["i"] + 1)) | of_von)
+    return F.when(p.isNotNull() & trusted, F.struct(p["i"].alias("i"), p["low"].alias("low"), p["idx"].alias("idx"), p["text"].alias("text"), needs.alias("needs")))
+
+
 def particle_at(at: Column) -> Column:
     """``(i, low, idx, text, needs)`` of a verb's separated prefix, null for none or one that is not to be trusted; ``needs``: only if it makes a word with the verb."""
+    return let(_sole(children(at, lambda c: c["dep"] == "svp")), _prefix)
+
+
+def sole(found: Column) -> Column:
+    """Of tokens those whose head no other of them has."""
+    return let(found, lambda all_: F.filter(all_, lambda p: F.size(F.filter(all_, lambda q: q["head"] == p["head"])) == 1))
+
 
-    def trusted(p: Column) -> Column:
-        before, after = F.get("t", p["i"] - 1), F.get("t", p["i"] + 1)
-        low = p["low"]
-        apart = told(before["low"] == "und") | told(after["low"] == "und") | told(after["pos"].isin(AFTER_NO_PARTICLE_POS) | after["text"].isin(AFTER_NO_PARTICLE_TEXT))
-        of_von = (low == "aus") & F.exists("t", lambda x: (x["low"] == "von") & (x["pos"] == "ADP") & (x["i"] < p["i"]))
-        pronominal = F.lit(False)
-        for head in PRONOMINAL:
-            pronominal = pronominal | low.startswith(head)
-        needs = (pronominal & (low != "dazu")) | low.isin(ADVERB_PARTICLES) | ~low.isin(PREFIXES + PARTICLES)
-        return F.when(p.isNotNull() & (low != "da") & ~apart & ~of_von, F.struct(p["i"].alias("i"), low.alias("low"), p["idx"].alias("idx"), p["text"].alias("text"), needs.alias("needs")))
-
-    return let(_sole(children(at, lambda c: c["dep"] == "svp")), trusted)
+def particles() -> Column:
+    """``particle_at`` of all verbs that have one, as ``(at, p)``: the sentence's tokens are gone through once, not once a verb."""
+    prefixes = sole(F.filter("t", lambda c: told((c["dep"] == "svp") & (c["head"] != c["i"]))))
+    verbs = F.filter(prefixes, lambda p: told(F.get("t", p["head"])["pos"] == "VERB"))
+    entries = F.transform(verbs, lambda p: F.struct(p["head"].cast("int").alias("at"), _prefix(p).alias("p")))
+    return F.filter(entries, lambda e: e["p"].isNotNull())
 
 
 def form_key(x: Column) -> Column:
