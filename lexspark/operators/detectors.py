@@ -232,7 +232,7 @@ def word_candidates(tokens: DataFrame) -> DataFrame:
     """
     x = F.col("x")
     pos, verb = x["pos"], x["pos"] == "VERB"
-    p = F.get(F.filter("particles", lambda e: e["at"] == x["i"]), F.lit(0))["p"]
+    p = F.col("particles")[x["i"].cast("int")]
     fits = F.when(pos == "NOUN", ~x["lem"].isin(STOP_NOUNS) & (F.length(x["lem"]) >= 3)).when(verb, True).when(
         pos.isin("ADJ", "ADV"), _plain_degree(x) & (x["dep"] != "svp") & (F.length(x["lem"]) >= 3) & ~x["lem"].isin(STOP_ADJECTIVES + GRAMMAR_ADVERBS)
     )

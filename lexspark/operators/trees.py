@@ -90,11 +90,11 @@ def sole(found: Column) -> Column:
 
 
 def particles() -> Column:
-    """``particle_at`` of all verbs that have one, as ``(at, p)``: the sentence's tokens are gone through once, not once a verb."""
+    """``particle_at`` of all verbs that have one, by place: the sentence's tokens are gone through once, not once a verb."""
     prefixes = sole(F.filter("t", lambda c: told((c["dep"] == "svp") & (c["head"] != c["i"]))))
     verbs = F.filter(prefixes, lambda p: told(F.get("t", p["head"])["pos"] == "VERB"))
     entries = F.transform(verbs, lambda p: F.struct(p["head"].cast("int").alias("at"), _prefix(p).alias("p")))
-    return F.filter(entries, lambda e: e["p"].isNotNull())
+    return F.map_from_entries(F.filter(entries, lambda e: e["p"].isNotNull()))
 
 
 def form_key(x: Column) -> Column:
